@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fathomline.session import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -20,7 +23,13 @@ class Registry:
         def add(fn: Query) -> Query:
             if name in self.queries:
                 raise ValueError(f"query {name} is defined twice")
-            self.queries[name] = fn
+
+            @functools.wraps(fn)
+            def run(spark: SparkSession, directory: str) -> DataFrame:
+                ship_package(spark)
+                return fn(spark, directory)
+
+            self.queries[name] = run
             if sql is not None:
                 self.sql[name] = sql
             return fn

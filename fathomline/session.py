@@ -8,8 +8,12 @@ as in unit tests.
 from __future__ import annotations
 
 import atexit
+import io
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +55,25 @@ def scratch_root(spark: SparkSession) -> str:
     return _OWN_ROOT[app]
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once; they need not have it installed.
+
+    The archive lies beside the driver, whose file server hands it to the executors.
+    """
+    sc = spark.sparkContext
+    name = f"fathomline-{sc.applicationId}.zip"
+    if any(str(f).endswith(name) for f in sc.listFiles):
+        return
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, source.relative_to(root.parent))
+    path = os.path.join(tempfile.mkdtemp(prefix="fathomline-code-"), name)
+    Path(path).write_bytes(packed.getvalue())
+    sc.addPyFile(path)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table into the scratch folder and return a scan of it."""
     spark = df.sparkSession
