@@ -69,7 +69,7 @@ def line_windows(text: Column) -> Column:
             F.array_join(F.slice(all_lines, s + 1, F.least(F.lit(WINDOW_LINES), count - s)), "\n").alias("content"),
         ),
     )
-    return F.filter(made, lambda w: F.length(F.regexp_replace(w["content"], r"\s", "")) > 0)
+    return F.filter(made, lambda w: F.length(F.regexp_replace(w["content"], r"[ \t\n\r\f\x0B]", "")) > 0)
 
 
 def line_range(text: Column, first: int, last: int, most_lines: int, most_bytes: int) -> Column:

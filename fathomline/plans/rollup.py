@@ -1,0 +1,159 @@
+"""Queries of roll-ups, the router and debounced events."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fathomline.functions import paths
+from fathomline.operators import rollup, router, search
+from fathomline.plans.registry import Registry
+from fathomline.plans.search import _BEST, _VEC, POOL, _hits, _hybrid_sql, _question
+from fathomline.plans.views import CHUNKS, NODES, now
+from fathomline.streaming import watch
+from fathomline.tables import table
+
+registry = Registry()
+
+_DIR = "case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') else '.' end"
+
+
+@registry.query("latest_per_key", "select path, doc_id, updated_at from documents where path is not null qualify row_number() over (partition by path order by updated_at desc nulls last, doc_id desc) = 1")
+def latest_per_key(spark, sf):
+    docs = table(spark, sf, "documents").where("path is not null").select("path", "doc_id", "updated_at")
+    return rollup.newest_per(docs, ["path"], [F.desc_nulls_last("updated_at"), F.desc("doc_id")])
+
+
+@registry.query(
+    "pkg_rollup_key",
+    f"""with f as (select path, sha1(string_agg(content_sha1, ':' order by content_sha1)) as file_sha from (select distinct path, content_sha1 from chunks where not ends_with(kind, '_summary') and content_sha1 is not null and path is not null) group by path),
+    m as (select {_DIR} as dir, file_sha, regexp_matches(path, '{paths.TEST_PATTERN}') as test from f), u as (select *, max(not test) over (partition by dir) as prod from m)
+    select dir, count(*) as files, sha1('v1' || chr(0) || string_agg(file_sha, ':' order by file_sha)) as package_sha from u where not test or not prod group by dir""",
+)
+def pkg_rollup_key(spark, sf):
+    return rollup.package_keys(table(spark, sf, "chunks"))
+
+
+@registry.query("rollup_concat", f"with {CHUNKS} select split_part(path, '/', 1) as grp, count(*) as summaries, string_agg(content, chr(10) || chr(10) order by path, id) as text from ch where ends_with(kind, '_summary') and content is not null group by grp")
+def rollup_concat(spark, sf):
+    summaries = now(spark, sf, "chunks").where("endswith(kind, '_summary')").select("id", "path", "content")
+    return rollup.joined_summaries(summaries, F.substring_index("path", "/", 1))
+
+
+_WEIGHT = "w as (select case when contains(file_path, '/') then regexp_replace(file_path, '/[^/]*$', '') else '.' end as dir, count(*) as weight from nd where file_path <> '' group by dir)"
+
+
+def _weights(spark, sf):
+    return now(spark, sf, "graph_nodes").where("file_path <> ''").groupBy(paths.dirname(F.col("file_path")).alias("dir")).agg(F.count(F.lit(1)).alias("weight"))
+
+
+@registry.query("repo_input", f"with {CHUNKS}, {NODES}, {_WEIGHT} select ch.id, ch.path, coalesce(weight, 0) as weight from ch left join w on w.dir = {_DIR.replace('path', 'ch.path')} where kind = 'package_summary' order by weight desc, ch.path, ch.id limit 15")
+def repo_input(spark, sf):
+    """The 15 package summaries of the heaviest directories."""
+    summaries = now(spark, sf, "chunks").where("kind = 'package_summary'").select("id", "path", paths.dirname(F.col("path")).alias("dir"))
+    return summaries.join(_weights(spark, sf), "dir", "left").select("id", "path", F.coalesce("weight", F.lit(0)).alias("weight")).orderBy(F.desc("weight"), "path", "id").limit(15)
+
+
+@registry.query(
+    "toc_groups",
+    f"with {NODES}, {_WEIGHT} select split_part(dir, '/', 1) as family, dir, row_number() over x as place, first_value(weight) over x as family_weight, first_value(dir) over x as family_first from w window x as (partition by split_part(dir, '/', 1) order by weight desc, dir)",
+)
+def toc_groups(spark, sf):
+    return rollup.contents_groups(_weights(spark, sf))
+
+
+@registry.query("truncation_check", f"""with {CHUNKS} select id, not regexp_matches(coalesce(content, ''), '[.!?:;)\\]}}`"''*|>-][ \\t\\r\\n]*$') as truncated from ch where ends_with(kind, '_summary')""")
+def truncation_check(spark, sf):
+    return now(spark, sf, "chunks").where("endswith(kind, '_summary')").select("id", rollup.looks_truncated(F.col("content")).alias("truncated"))
+
+
+_RECEIVER, _QUALIFIED = router.RECEIVER, router.QUALIFIED
+_IDENT = f"""base as (select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '{_RECEIVER}', ' ', 'g') as t1 from documents),
+    parts as (select doc_id, t, list_concat(regexp_extract_all(t, '{_RECEIVER}', 1), regexp_extract_all(t1, '{_QUALIFIED}', 1)) as qualified, regexp_extract_all(regexp_replace(t1, '{_QUALIFIED}', ' ', 'g'), '{router.WORD}', 1) as words from base),
+    found as (select doc_id, t, list_distinct(list_concat(qualified, list_filter(words, lambda x: regexp_matches(x, '{router.PASCAL}') or regexp_matches(x, '{router.CAMEL}') or regexp_matches(x, '{router.SNAKE}')))) as ids from parts),
+    ident as (select doc_id, t, case when len(ids) > 0 then ids when regexp_extract(t, '{router.SINGLE}', 1) <> '' then [regexp_extract(t, '{router.SINGLE}', 1)] else [] end as ids from found)"""
+
+
+@registry.query("identifiers", f"with {_IDENT} select doc_id, len(ids)::bigint as n, sha1(array_to_string(list_sort(ids), ',')) as ids_sha1 from ident")
+def identifiers(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", router.identifiers(F.col("text")).alias("ids"))
+    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n"), F.sha1(F.array_join(F.array_sort("ids"), ",")).alias("ids_sha1"))
+
+
+_CASES = " ".join(f"when regexp_matches(lower(t), '{router.intent_pattern(n)}') then '{n}'" for n, _ in router.INTENT_PHRASES)
+
+
+@registry.query("intent_route", f"with {_IDENT} select doc_id, case {_CASES} when len(ids) > 0 and len(list_filter(regexp_split_to_array(lower(t), '[ \\t\\r\\n]+'), lambda x: x <> '')) between 1 and 3 then 'symbol_lookup' else 'behavior_search' end as intent from ident")
+def intent_route(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", router.intent(F.col("text")).alias("intent"))
+
+
+@registry.query(
+    "suggested_reads",
+    _hybrid_sql(POOL)
+    + f""", n as (select *, ((case when regexp_matches(path, '{paths.TAG_DOC}') then 1 else 0 end) + (case when regexp_matches(path, '{paths.TAG_BUILD}') then 1 else 0 end) + (case when regexp_matches(path, '{paths.TAG_TEST}') then 1 else 0 end) + (case when regexp_matches(path, '{paths.TAG_FIXTURE}') then 1 else 0 end)) > 0 as side from full_hit where start_line > 0 and end_line >= start_line),
+    f as (select * from n qualify row_number() over (partition by path order by side, rrf desc, id) = 1) select path, start_line, end_line, row_number() over (order by side, rrf desc, id) as place from f qualify place <= 5""",
+)
+def suggested_reads(spark, sf):
+    return router.suggested_reads(_hits(spark, sf, POOL), "rrf", most=5)
+
+
+@registry.query(
+    "summary_penalty",
+    f"""with {_VEC}, {NODES} select ch.id, sem.score, round(case when regexp_replace(lower(split_part(path, '/', -1)), '(.)\\.[^.]*$', '\\1') in ({", ".join(f"'{x}'" for x in router.ARCHITECTURE_DOCS)}) or path in (select file_path from nd where file_path <> '') then score else score - 0.2 end, 6) as adjusted from ch join sem using (id) where kind in ('file_summary', 'package_summary', 'repo_summary')""",
+)
+def summary_penalty(spark, sf):
+    chunks = now(spark, sf, "chunks")
+    scored = search.usable_vectors(chunks.where("kind in ('file_summary', 'package_summary', 'repo_summary')")).crossJoin(F.broadcast(_question(spark, sf))).select("id", "path", search.cosine(F.col("vec"), F.col("qvec")).alias("score"))
+    return router.penalise_summaries(scored, now(spark, sf, "graph_nodes"), "score").select("id", "score", "adjusted")
+
+
+@registry.query("budget_cut", _hybrid_sql(POOL) + "select id, used from (select id, sum(octet_length(encode(coalesce(content, '')))) over (order by rrf desc, id)::bigint as used from full_hit) where used <= 20480")
+def budget_cut(spark, sf):
+    return router.within_budget(_hits(spark, sf, POOL), _BEST, 20 * 1024).select("id", "used")
+
+
+@registry.query("low_signal", f"with {_VEC} select id, score from (select * from sem order by score desc, id limit {POOL}) qualify max(score) over () >= 0.45 or score >= 0.40")
+def low_signal(spark, sf):
+    return router.without_low_signal(search.knn(now(spark, sf, "chunks"), _question(spark, sf), POOL), "score")
+
+
+@registry.query(
+    "nearest_doc",
+    """with f as (select distinct path from chunks where path is not null), parts as (select path, string_split(path, '/') as p from f), up as (select path, unnest(range(0, least(len(p), 10))) as far, p from parts),
+    dirs as (select path, far, case when far = len(p) - 1 then '.' else array_to_string(list_slice(p, 1, len(p) - 1 - far), '/') end as dir from up),
+    docs as (select path as doc, case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') else '.' end as dir from f where ends_with(path, '.md'))
+    select d.path, arg_min(doc, lpad(far::varchar, 3, '0') || doc) as doc from dirs d join docs using (dir) where doc <> d.path group by d.path""",
+)
+def nearest_doc(spark, sf):
+    files = table(spark, sf, "chunks").where("path is not null").select("path").distinct()
+    docs = files.where(F.col("path").endswith(".md")).select("path", F.lit(0).alias("priority"))
+    return router.nearest_document(files, docs)
+
+
+@registry.query(
+    "test_pairs",
+    """with f as (select distinct path from chunks where path is not null), s as (select path, regexp_replace(path, '[^/]*$', '') as folder, lower(regexp_extract(path, '(\\.[^./]*)$', 1)) as ext, regexp_replace(split_part(path, '/', -1), '\\.[^.]*$', '') as stem from f),
+    c as (select path, unnest(case when ext = '.go' and not ends_with(stem, '_test') then [folder || stem || '_test.go'] when ext = '.py' and not starts_with(stem, 'test_') and not ends_with(stem, '_test') then [folder || 'test_' || stem || '.py', folder || stem || '_test.py']
+    when ext in ('.ts', '.tsx', '.js', '.jsx') and not contains(stem, '.test') and not contains(stem, '.spec') then [folder || stem || '.test' || ext, folder || stem || '.spec' || ext] else [] end) as test from s) select path, test from c where test in (select path from f)""".replace("\\\\", "\\"),
+)
+def test_pairs(spark, sf):
+    return router.test_pairs(table(spark, sf, "chunks").where("path is not null"))
+
+
+@registry.query(
+    "debounce_sessions",
+    """with e as (select user_id, ts, case when ts - lag(ts) over w <= interval 6 hours then 0 else 1 end as fresh from events where user_id is not null and ts is not null window w as (partition by user_id order by ts)),
+    s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as n from e) select user_id, min(ts) as started, max(ts) as ended, count(*) as events from s group by user_id, n""",
+)
+def debounce_sessions(spark, sf):
+    runs = watch.debounce(table(spark, sf, "events").where("user_id is not null and ts is not null"), "user_id", gap="6 hours")
+    return runs.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("started", "ended")], "events")
+
+
+@registry.query("event_filter", "select event_type, count(*) as events, min(ts) as first_at from events where event_type in (select event_type from events group by 1 having count(*) > 10) group by event_type")
+def event_filter(spark, sf):
+    """Events of frequent types, counted; the stream form filters by path and change."""
+    events = table(spark, sf, "events")
+    return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.min("ts").alias("first_at")).where("events > 10")
+
+
