@@ -27,7 +27,7 @@ def usable_vectors(chunks: DataFrame, dimensions: int = 64) -> DataFrame:
 
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
-    return F.round(dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), 6)
+    return F.round(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), 6)
 
 
 def knn(chunks: DataFrame, query: DataFrame, k: int) -> DataFrame:
