@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fathomline.functions import chunking, extract
 from fathomline.functions.rerank import CircuitBreaker, RerankCache, Unreachable
@@ -28,7 +29,7 @@ EMBED_BATCH = 32
 def embed_chunks(chunks: DataFrame, embed: Embed, batch: int = EMBED_BATCH) -> DataFrame:
     """``chunks`` with ``vec``: ``embed`` is called with the texts to embed in batches, in order, on the executors."""
     texts = chunks.withColumn("_text", chunk_text())
-    schema = chunks.schema.add("vec", "array<float>")
+    schema = T.StructType([*chunks.schema.fields, T.StructField("vec", T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,7 +138,7 @@ class Engine:
         nodes = self.nodes()
         rows = nodes.where((F.col("name") == name) & (F.col("file_path") != "") & (F.col("start_line") > 0))
         tag = graph.role(F.col("name"), F.col("in_degree"), F.col("out_degree"), F.col("cross_pkg_callers"))
-        return rows.select("id", "kind", "qualified_name", "file_path", "start_line", "end_line", "pagerank", "in_degree", tag.alias("role")).orderBy(F.desc("pagerank"), F.desc("in_degree"), "file_path", "start_line").limit(k)
+        return rows.select("id", "kind", "name", "qualified_name", "file_path", "start_line", "end_line", "pagerank", "in_degree", tag.alias("role")).orderBy(F.desc("pagerank"), F.desc("in_degree"), "file_path", "start_line").limit(k)
 
     def did_you_mean(self, name: str, k: int = 5) -> list[str]:
         low = name.lower()

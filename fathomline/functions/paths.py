@@ -100,6 +100,8 @@ def rule_to_regex(rule: str) -> tuple[str, bool] | None:
     while i < len(body):
         if body.startswith("**/", i):
             made, i = made + "(?:.*/)?", i + 3
+        elif body.startswith("/**/", i):
+            made, i = made + "/(?:.*/)?", i + 4
         elif body.startswith("/**", i):
             made, i = made + "/.*", i + 3
         elif body[i] == "*":
