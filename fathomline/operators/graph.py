@@ -72,10 +72,12 @@ def pagerank(nodes: DataFrame, flow: DataFrame, iterations: int = ITERATIONS, da
     sources = shares.select(F.col("src_id").alias("id")).distinct().withColumn("flows", F.lit(True))
     ranks = materialise(ids.join(sources, "id", "left").select("id", F.coalesce("flows", F.lit(False)).alias("flows"), F.lit(1.0 / n).alias("rank")), "ranks")
     for _ in range(iterations):
-        given = ranks.select(F.col("id").alias("src_id"), "rank").join(shares, "src_id").groupBy(F.col("dst_id").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("given"))
+        given = ranks.select(F.col("id").alias("src_id"), "rank").join(shares, "src_id").select(F.col("dst_id").alias("id"), (F.col("rank") * F.col("share")).alias("given"), F.lit(False).alias("flows"))
+        own = ranks.select("id", F.lit(0.0).alias("given"), "flows")
         idle = ranks.agg(F.sum(F.when(F.col("flows"), 0.0).otherwise(F.col("rank"))).alias("idle"))
-        new = F.lit((1 - damping) / n) + F.lit(damping / n) * F.col("idle") + F.lit(damping) * F.coalesce("given", F.lit(0.0))
-        ranks = materialise(ranks.select("id", "flows").join(given, "id", "left").crossJoin(F.broadcast(idle)).select("id", "flows", new.alias("rank")), "ranks")
+        sums = given.unionByName(own).groupBy("id").agg(F.sum("given").alias("given"), F.max("flows").alias("flows"))
+        new = F.lit((1 - damping) / n) + F.lit(damping / n) * F.col("idle") + F.lit(damping) * F.col("given")
+        ranks = materialise(sums.crossJoin(F.broadcast(idle)).select("id", "flows", new.alias("rank")), "ranks")
     return ranks.select("id", F.col("rank").alias("pagerank"))
 
 

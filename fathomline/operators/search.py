@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.text import ParsedQuery, tokens
+from fathomline.session import materialise
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 WINDOW_WEIGHT = 0.7
@@ -49,20 +50,19 @@ def _matches(term: list[str]) -> Column:
     """How often a term (one token, or a phrase of consecutive ones) occurs."""
     if len(term) == 1:
         return F.size(F.filter("toks", lambda t: t == F.lit(term[0]))).cast("long")
-    n = len(term)
-    spots = F.sequence(F.lit(0), F.greatest(F.size("toks") - n, F.lit(0)))
-    here = lambda i, j: F.coalesce(F.get("toks", i + j) == F.lit(term[j]), F.lit(False))
-
-    def same(i: Column) -> Column:
-        found = here(i, 0)
-        for j in range(1, n):
-            found = found & here(i, j)
-        return found
-
     every = F.array_contains("toks", term[0])
     for word in term[1:]:
         every = every & F.array_contains("toks", word)
-    return F.when(every, F.size(F.filter(spots, same))).otherwise(0).cast("long")
+    n = len(term)
+    if any(term[i:] == term[: n - i] for i in range(1, n)):
+        # occurrences may overlap, so each position is looked at
+        spots = F.sequence(F.lit(0), F.greatest(F.size("toks") - n, F.lit(0)))
+        found = lambda i: F.slice("toks", i + 1, n) == F.array(*map(F.lit, term))
+        return F.when(every, F.size(F.filter(spots, found))).otherwise(0).cast("long")
+    # tokens hold letters and digits only, so marks around each of them make a phrase a plain substring
+    text = F.concat(F.lit("<"), F.array_join("toks", "><"), F.lit(">"))
+    phrase = "<" + "><".join(term) + ">"
+    return F.when(every, ((F.length(text) - F.length(F.replace(text, F.lit(phrase), F.lit("")))) / len(phrase))).otherwise(0).cast("long")
 
 
 def bm25(chunks: DataFrame, query: ParsedQuery, k: int) -> DataFrame:
@@ -73,7 +73,8 @@ def bm25(chunks: DataFrame, query: ParsedQuery, k: int) -> DataFrame:
     """
     if not query.terms:
         return chunks.select("id", F.lit(0.0).alias("score")).limit(0)
-    counted = tokenised(chunks).select("id", "kind", F.size("toks").cast("long").alias("dl"), *[_matches(t).alias(f"tf{i}") for i, t in enumerate(query.terms)])
+    # a few numbers per chunk, written once: otherwise filters are pushed into the scan and tokenise the text again
+    counted = materialise(tokenised(chunks).select("id", "kind", F.size("toks").cast("long").alias("dl"), *[_matches(t).alias(f"tf{i}") for i, t in enumerate(query.terms)]), "counts")
     every = range(len(query.terms))
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in every])
     hit = [F.col(f"tf{i}") > 0 for i in every]

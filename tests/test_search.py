@@ -12,7 +12,7 @@ WORDS = "amber basin cedar delta ember fjord grove haven inlet jetty".split()
 def _chunks(spark, n=40):
     rows = []
     for i in range(n):
-        text = " ".join(WORDS[(i * k) % 10] for k in range(1, 6 + i % 4)) + ("\nparse_token value" if i % 5 == 0 else "")
+        text = " ".join(WORDS[(i * k) % 10] for k in range(1, 6 + i % 4)) + ("\nparse_token value aa aa aa" if i % 5 == 0 else "")
         vec = [math.cos(i * (j + 1)) for j in range(64)]
         rows.append((i, f"src/f{i % 7}.go", "window" if i % 3 == 0 else "function_declaration", f"n{i}", i, i + 3, text, vec))
     rows += [(100, "x", None, None, None, None, None, None), (101, "x", "window", "", 0, 0, "", [0.0] * 64), (102, "y", "window", "", 1, 1, "q", [1.0] * 3), (103, "y", "k", "", 1, 1, "q", [float("nan")] + [1.0] * 63)]
@@ -56,7 +56,7 @@ def _bm25(rows, terms, every):
 
 def test_bm25_equals_brute_force(spark):
     df, rows = _chunks(spark)
-    for text, mode in (("amber delta", "auto"), ("amber delta grove", "auto"), ("amber delta", "or"), ("parse_token", "auto"), ('"token value" amber', "and")):
+    for text, mode in (("amber delta", "auto"), ("amber delta grove", "auto"), ("amber delta", "or"), ("parse_token", "auto"), ('"token value" amber', "and"), ('"aa aa"', "auto")):
         q = parse_query(text, mode)
         got = search.bm25(df, q, 100).collect()
         assert [(r.score, -r.id) for r in got] == _bm25(rows, q.terms, q.conjunctive), text
