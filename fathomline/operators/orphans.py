@@ -60,9 +60,11 @@ def _probe(key: tuple, refs: pa.Table | Iterator[pa.RecordBatch], parents: pa.Ta
     return refs.filter(pa.array(missing)).select(out_cols)
 
 
-def missing_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
+def missing_references(refs: DataFrame, parents: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """The rows of ``refs`` whose ``ref_key`` is not in ``parents.parent_key``.
 
+    ``keys(ref_key)`` are keys in about the numbers of ``refs``, from which the load of the ranges is counted; where
+    ``refs`` is costly, the rows that it was made from serve as well.
     ``refs`` has a string column ``ref_key``, neither null nor empty (such rows are no references and are dropped).
     Keys are compared exactly.  A table without parents makes every reference missing.
     """
@@ -72,7 +74,8 @@ def missing_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     n = parents.count()
     ranges = max(2 * spark.sparkContext.defaultParallelism, -(-n // _PARENTS_PER_RANGE))
     ranges = 1 << (ranges - 1).bit_length()
-    by_range = refs.select(F.expr(_range_of("h", ranges)).alias("rng"), F.xxhash64("ref_key", F.spark_partition_id()).alias("_x"))
+    counted = refs if keys is None else keys.where("ref_key is not null and ref_key <> ''").withColumn("h", F.xxhash64("ref_key"))
+    by_range = counted.select(F.expr(_range_of("h", ranges)).alias("rng"))
     # one row per range comes back, a number set by the size of the parent table and not by the references
     load = {r.rng: r.n for r in by_range.groupBy("rng").agg(F.count(F.lit(1)).alias("n")).collect()}
     hot = {r: -(-c // _REFERENCES_PER_TASK) for r, c in load.items() if c > _REFERENCES_PER_TASK}
@@ -103,6 +106,6 @@ def find_orphans(edges: DataFrame, nodes: DataFrame, chunks: DataFrame, pruned:
     node_refs = newest_node.select(F.col("id").alias("record_id"), F.expr("nullif(r._s, -1)").alias("_s"), F.col("r.chunk_id").cast("string").alias("ref_key"))
     node_refs = node_refs.select("record_id", F.lit("chunk_id").alias("field_name"), "ref_key", month)
     live_chunks = materialise(living_parents(chunks, "id", "last_seen_at", pruned, "chunks"), "parents")
-    a = missing_references(edge_refs, live_nodes).withColumn("table_name", F.lit("graph_edges"))
-    b = missing_references(node_refs, live_chunks).withColumn("table_name", F.lit("graph_nodes"))
+    a = missing_references(edge_refs, live_nodes, edges.select(F.explode(F.array("src_id", "dst_id")).alias("ref_key"))).withColumn("table_name", F.lit("graph_edges"))
+    b = missing_references(node_refs, live_chunks, nodes.select(F.col("chunk_id").cast("string").alias("ref_key"))).withColumn("table_name", F.lit("graph_nodes"))
     return a.unionByName(b).select("table_name", "field_name", "record_id", "period")
