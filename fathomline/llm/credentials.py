@@ -201,6 +201,12 @@ def find_credentials(text: str | None, extension: str = "") -> list[Credential]:
         end = text.find(closing, m.end())
         stop = end if end >= 0 else len(text)
         body = re.sub(r"\\[nr]|[\s\"'+,#/*;\\]|Proc-Type.*|DEK-Info.*", "", text[m.end() : stop])
+        line = text[text.rfind("\n", 0, m.start()) + 1 : m.start()]
+        if end < 0 and len(body) < 24 and "\n" not in text[m.end() :].strip() and re.fullmatch(r"[\s/#*;\-]*", line):
+            # a chunk that ends inside a block, just after its first line
+            found.append(Credential(m.start(), len(text.rstrip()), "", "private_key"))
+            blocks.append((m.start(), len(text)))
+            continue
         if len(body) >= 24 and not (len(body) < 64 and _STAND_IN.search(text[m.end() : stop])) and len(set(body)) > 8:
             found.append(Credential(m.start(), end + len(closing) if end >= 0 else len(text), "", "private_key"))
             blocks.append((m.start(), found[-1].end))
