@@ -14,7 +14,7 @@ BASENAMES = "Makefile makefile GNUmakefile Dockerfile dockerfile Containerfile J
 
 # The default ignore patterns, in the order in which they apply.
 IGNORE_PATTERNS = """.env .env.* *.pem *.key *.key.gpg *.kdbx id_rsa id_rsa.pub id_ed25519 id_ed25519.pub id_ecdsa id_ecdsa.pub authorized_keys known_hosts secrets.yml secrets.yaml *.tfvars
-.terraform/ node_modules/ vendor/ .venv/ venv/ .tox/ __pycache__/ target/ dist/ build/ .next/ .cache/ .git/ .hg/ .svn/ .dex/ *.log *.lock *.min.js *.min.css
+.terraform/ node_modules/ vendor/ .venv/ venv/ .tox/ __pycache__/ target/ dist/ build/ .next/ .cache/ .git/ .hg/ .svn/ *.log *.lock *.min.js *.min.css
 *.d.ts llms.txt llms-full.txt package-lock.json npm-shrinkwrap.json pnpm-lock.yaml coverage/ .nyc_output/ htmlcov/ __snapshots__/
 LICENSE LICENSE.* LICENCE LICENCE.* License License.* license license.* COPYING COPYING.* COPYRIGHT COPYRIGHT.* NOTICE NOTICE.* AUTHORS AUTHORS.* PATENTS PATENTS.* LEGAL LEGAL.*""".split()
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.session import materialise
+from fathomline.session import materialise, release
 
 DAMPING = 0.85
 ITERATIONS = 20
@@ -77,7 +77,8 @@ def pagerank(nodes: DataFrame, flow: DataFrame, iterations: int = ITERATIONS, da
         idle = ranks.agg(F.sum(F.when(F.col("flows"), 0.0).otherwise(F.col("rank"))).alias("idle"))
         sums = given.unionByName(own).groupBy("id").agg(F.sum("given").alias("given"), F.max("flows").alias("flows"))
         new = F.lit((1 - damping) / n) + F.lit(damping / n) * F.col("idle") + F.lit(damping) * F.col("given")
-        ranks = materialise(sums.crossJoin(F.broadcast(idle)).select("id", "flows", new.alias("rank")), "ranks")
+        before, ranks = ranks, materialise(sums.crossJoin(F.broadcast(idle)).select("id", "flows", new.alias("rank")), "ranks")
+        release(before)
     return ranks.select("id", F.col("rank").alias("pagerank"))
 
 

@@ -209,3 +209,16 @@ def used_by(spark, sf):
 )
 def containment_join(spark, sf):
     return graph.tightest_chunk(now(spark, sf, "graph_nodes"), now(spark, sf, "chunks"))
+
+
+_FIELDS = ("id", "kind", "src_id", "dst_id", "file_path", "start_line", "end_line", "content_hash")
+
+
+@registry.query(
+    "graph_export",
+    f"with {EDGES} select id, json_merge_patch('{{}}', json_object({', '.join(f"'{c}', {c}" if c.endswith('_line') else f"'{c}', nullif({c}, '')" for c in _FIELDS)}))::varchar as line from ed",
+)
+def graph_export(spark, sf):
+    """The JSON line of every edge, null and empty fields left out."""
+    tidy = now(spark, sf, "graph_edges").select(*[F.col(c) if c.endswith("_line") else F.when(F.col(c) != "", F.col(c)).alias(c) for c in _FIELDS])
+    return tidy.select("id", F.to_json(F.struct(*_FIELDS), {"ignoreNullFields": "true"}).alias("line"))

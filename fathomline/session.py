@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import io
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -51,7 +52,9 @@ def scratch_root(spark: SparkSession) -> str:
     if app not in _OWN_ROOT:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        _OWN_ROOT[app] = "file://" + tempfile.mkdtemp(prefix="fathomline-")
+        own = tempfile.mkdtemp(prefix="fathomline-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _OWN_ROOT[app] = f"file://{own}"
     return _OWN_ROOT[app]
 
 
@@ -80,7 +83,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_root(spark)}/fathomline/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(discard, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def release(table: DataFrame) -> None:
+    """Remove the scratch table behind a result of ``materialise`` that nothing reads any more."""
+    path = getattr(table, "_scratch_path", None)
+    if path:
+        discard(table.sparkSession, path)
 
 
 def discard(spark: SparkSession, path: str) -> None:

@@ -80,3 +80,26 @@ def drain(take: Callable[[int], int], batch: int = 10, rounds: int | None = None
         if pause:
             sleep(pause)
     return done
+
+
+class IdleHook:
+    """Work for quiet times: due ``delay`` seconds after a clean flush, cancelled by an event.
+
+    ``poll`` runs it when it is due; a hook that returns False has more to do and is due again after the same delay.
+    """
+
+    def __init__(self, hook: Callable[[], bool], delay: float = 5.0, clock: Callable[[], float] = time.monotonic) -> None:
+        self._hook, self._delay, self._clock = hook, delay, clock
+        self._due: float | None = None
+
+    def event(self) -> None:
+        self._due = None
+
+    def flushed(self) -> None:
+        self._due = self._clock() + self._delay
+
+    def poll(self) -> bool:
+        if self._due is None or self._clock() < self._due:
+            return False
+        self._due = None if self._hook() else self._clock() + self._delay
+        return True
