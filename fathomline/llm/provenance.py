@@ -23,7 +23,9 @@ _COMMENT = r"(?im)^[ \t]*(?:/\*+!?|//+!?|#+|\"\"\"|'''|--|;+|<!--|\*)[ \t]*"
 _GENERATED_BANNER = (
     _COMMENT
     + r"(?:code generated\b|@generated\b|<auto-?generated>|<autogenerated|auto-?generated\b|automatically generated\b|(?:this (?:file|code) (?:is|was) )?(?:re)?generated (?:by|from|on|at|with|automatically|every)\b"
-    + r"|this (?:file|code) (?:is|was|has been) (?:auto-?|automatically )?generated\b|do not (?:edit|modify|change)\b[^\n\"]{0,40}(?:by hand|manually|directly|generated|this file)|generated file\b)"
+    + r"|this (?:file|code) (?:is|was|has been) (?:(?:auto-?|automatically )?generated|(?:produced|created|written|made|built) (?:automatically|by an? ?\w* ?(?:tool|generator|script|compiler)))\b|machine[- ](?:made|generated|written)\b|output of \S+ v?\d[\w.]* (?:on|from|for)\b"
+    + r"|diese datei wurde automatisch\b|automatisch (?:erzeugt|generiert|erstellt)\b|(?:ce )?fichier (?:a été )?(?:produit|généré|créé) (?:par|automatiquement)\b|(?:este )?archivo (?:fue )?(?:generado|producido|creado) (?:automáticamente|por)\b|(?:questo )?file (?:è stato )?generato (?:automaticamente|da)\b|(?:このファイルは)?自動生成|[@#] sourcemappingurl="
+    + r"|do not (?:edit|modify|change)\b[^\n\"]{0,40}(?:by hand|manually|directly|generated|this file)|generated file\b)"
 )
 _VENDORED_BANNER = (
     _COMMENT
