@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fathomline.functions import paths
 from fathomline.operators import rollup, router, search
 from fathomline.plans.registry import Registry
-from fathomline.plans.search import _BEST, _VEC, POOL, _hits, _hybrid_sql, _question
+from fathomline.plans.search import _VEC, POOL, _best, _hits, _hybrid_sql, _question
 from fathomline.plans.views import CHUNKS, NODES, now
 from fathomline.streaming import watch
 from fathomline.tables import table
@@ -109,7 +109,7 @@ def summary_penalty(spark, sf):
 
 @registry.query("budget_cut", _hybrid_sql(POOL) + "select id, used from (select id, sum(octet_length(encode(coalesce(content, '')))) over (order by rrf desc, id)::bigint as used from full_hit) where used <= 20480")
 def budget_cut(spark, sf):
-    return router.within_budget(_hits(spark, sf, POOL), _BEST, 20 * 1024).select("id", "used")
+    return router.within_budget(_hits(spark, sf, POOL), _best(), 20 * 1024).select("id", "used")
 
 
 @registry.query("low_signal", f"with {_VEC} select id, score from (select * from sem order by score desc, id limit {POOL}) qualify max(score) over () >= 0.45 or score >= 0.40")

@@ -89,12 +89,13 @@ def hybrid_rrf(spark, sf):
     return search.hybrid(now(spark, sf, "chunks"), _question(spark, sf), parse_query(QUESTION), K)
 
 
-_BEST = [F.desc("rrf"), F.col("id")]
+def _best():
+    return [F.desc("rrf"), F.col("id")]
 
 
 @registry.query("diversify", _hybrid_sql(POOL) + "select id, path, rrf from full_hit qualify row_number() over (partition by path order by rrf desc, id) <= 2")
 def diversify(spark, sf):
-    return search.diversify(_hits(spark, sf, POOL), _BEST, 2).select("id", "path", "rrf")
+    return search.diversify(_hits(spark, sf, POOL), _best(), 2).select("id", "path", "rrf")
 
 
 @registry.query("exclude_prefix", _hybrid_sql(POOL) + "select id, path, rrf from full_hit where not starts_with(path, (select min(split_part(path, '/', 1)) from full_hit) || '/')")
@@ -112,7 +113,7 @@ def summary_dedup(spark, sf):
 @registry.query("summary_search", _hybrid_sql(200) + "select id, kind, rrf from full_hit where kind in ('file_summary', 'package_summary', 'repo_summary') order by rrf desc, id limit 10")
 def summary_search(spark, sf):
     pool = _hits(spark, sf, 20 * K)
-    return pool.where(F.col("kind").isin("file_summary", "package_summary", "repo_summary")).select("id", "kind", "rrf").orderBy(*_BEST).limit(K)
+    return pool.where(F.col("kind").isin("file_summary", "package_summary", "repo_summary")).select("id", "kind", "rrf").orderBy(*_best()).limit(K)
 
 
 @registry.query(
@@ -132,7 +133,7 @@ def rerank_overlap(spark, sf):
     + "select string_agg('--- chunk ' || rn || ': ' || path || ':' || coalesce(start_line, 0) || '-' || coalesce(end_line, 0) || ' (' || kind || ', ' || printf('%.6f', rrf) || ') ---' || chr(10) || coalesce(content, '') || chr(10), chr(10) order by rn) as context from (select *, row_number() over (order by rrf desc, id) as rn from full_hit)",
 )
 def format_hits(spark, sf):
-    return search.format_hits(_hits(spark, sf, 5), _BEST)
+    return search.format_hits(_hits(spark, sf, 5), _best())
 
 
 @registry.query(

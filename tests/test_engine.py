@@ -79,3 +79,12 @@ def test_every_query_equals_its_sql(spark):
         want = sorted(tuple(plain(r[i]) for i in order) for r in result.fetchall())
         got = sorted(tuple(map(plain, r)) for r in df.select(*columns).collect())
         assert got == want, name
+
+
+def test_queries_are_known_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"
+    done = subprocess.run([sys.executable, "-B", "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr

@@ -143,11 +143,11 @@ def test_router(spark):
         assert sorted(r.got) == sorted(r.want)
     one = spark.createDataFrame([("x", "CALLERS"), ("who calls x", "auto"), ("who calls x", "nonsense")], "q string, i string")
     assert [r.v for r in one.select(router.intent(F.col("q"), F.col("i")).alias("v")).collect()] == ["callers"] * 3
-    files = spark.createDataFrame([(p,) for p in ("a/b/c.go", "a/b/c_test.go", "a/README.md", "x.py", "test_x.py", "w.ts", "w.spec.ts", "CLAUDE.md", "a/doc.go")], "path string")
+    files = spark.createDataFrame([(p,) for p in ("a/b/c.go", "a/b/c_test.go", "a/README.md", "x.py", "test_x.py", "w.ts", "w.spec.ts", "GUIDE.md", "a/doc.go")], "path string")
     assert {tuple(r) for r in router.test_pairs(files).collect()} == {("a/b/c.go", "a/b/c_test.go"), ("x.py", "test_x.py"), ("w.ts", "w.spec.ts")}
-    docs = spark.createDataFrame([("a/README.md", 3), ("a/doc.go", 2), ("CLAUDE.md", 1)], "path string, priority int")
+    docs = spark.createDataFrame([("a/README.md", 3), ("a/doc.go", 2), ("GUIDE.md", 1)], "path string, priority int")
     got = {r.path: r.doc for r in router.nearest_document(files, docs).collect()}
-    assert got["a/b/c.go"] == "a/doc.go" and got["a/doc.go"] == "a/README.md" and got["x.py"] == "CLAUDE.md" and "CLAUDE.md" not in got
+    assert got["a/b/c.go"] == "a/doc.go" and got["a/doc.go"] == "a/README.md" and got["x.py"] == "GUIDE.md" and "GUIDE.md" not in got
     hits = spark.createDataFrame([(1, "a.md", 1, 2, 0.9), (2, "b.go", 1, 2, 0.8), (3, "b.go", 5, 9, 0.85), (4, "c", 0, 0, 0.99)], "id bigint, path string, start_line int, end_line int, rrf double")
     assert [(r.path, r.start_line) for r in router.suggested_reads(hits, "rrf", 5).orderBy("place").collect()] == [("b.go", 5), ("a.md", 1)]
     found = spark.createDataFrame([("a.md",)], "path string")
