@@ -53,13 +53,30 @@ HEADS: dict[str, list[tuple[str, str, bool]]] = {
         (r"(?:(?:public|protected|private|static)\s+)*interface\s+" + _WORD, "interface_declaration", True),
         (r"(?:(?:public|protected|private|static)\s+)*(?:enum|record)\s+" + _WORD, "enum_declaration", True),
     ],
+    "c": [
+        (r"(?:typedef\s+)?struct\s+" + _WORD + r"\s*(?:\{|$)", "struct_specifier", False),
+        (r"(?!\s*(?:if|for|while|switch|return|else|do|typedef|struct)\b)[A-Za-z_][\w\s*]*?[\s*]" + _WORD + r"\s*\([^;]*\)\s*\{?\s*$", "function_definition", False),
+    ],
+    "cpp": [
+        (r"(?:template\s*<[^>]*>\s*)?class\s+" + _WORD + r"[^;]*$", "class_specifier", True),
+        (r"(?:template\s*<[^>]*>\s*)?struct\s+" + _WORD + r"[^;]*$", "struct_specifier", True),
+        (r"namespace\s+" + _WORD + r"[^;]*$", "namespace_definition", False),
+        (r"(?!\s*(?:if|for|while|switch|return|else|do|using|class|struct)\b)[A-Za-z_~][\w\s*&:<>,~]*?[\s*&:]?(?P<name>[A-Za-z_~][\w~]*)\s*\([^;]*\)\s*(?:const|noexcept|override|\s)*(?::[^{;]*)?\{?\s*$", "function_definition", False),
+    ],
+    "sh": [(r"(?:function\s+)?(?P<name>[A-Za-z_][\w-]*)\s*\(\)\s*\{?", "function_definition", False), (r"function\s+(?P<name>[A-Za-z_][\w-]*)\s*\{?", "function_definition", False)],
+}
+#: languages whose blocks end with a keyword: heads with their kinds, and kinds of members inside containers
+_KEYWORD_HEADS: dict[str, list[tuple[str, str, str, bool]]] = {
+    "rb": [(r"class\s+(?P<name>[A-Z]\w*)", "class", "", False), (r"module\s+(?P<name>[A-Z]\w*)", "module", "", True), (r"def\s+self\.(?P<name>\w+[?!=]?)", "singleton_method", "singleton_method", False), (r"def\s+(?P<name>\w+[?!=]?)", "method", "method", False)],
+    "lua": [(r"local\s+function\s+(?P<name>\w+)", "local_function_declaration_statement", "", False), (r"function\s+(?P<name>[\w.:]+)", "function_declaration_statement", "", False)],
 }
 _MEMBERS = {
+    "cpp": (re.compile(r"(?:(?:virtual|static|inline|explicit|constexpr)\s+)*(?:[\w:<>,*&]+\s+)*[*&]?(?P<name>[A-Za-z_~][\w~]*)\s*\([^;]*\)\s*(?:const|noexcept|override|\s)*\{"), "function_definition"),
     "js": (re.compile(r"(?:(?:public|private|protected|static|async|get|set|readonly)\s+)*\*?" + _WORD + r"\s*\([^;]*\)\s*(?::[^{]+)?\{"), "method_definition"),
     "rs": (re.compile(r"(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+)*fn\s+" + _WORD), "function_item"),
     "java": (re.compile(r"(?:@\w+\s+)*(?:(?:public|protected|private|static|final|abstract|synchronized|native|default)\s+)*(?:<[^>]+>\s+)?[\w<>\[\], .?]+\s+" + _WORD + r"\s*\([^;]*\)\s*(?:throws [\w., ]+)?\{"), "method_declaration"),
 }
-_LANGUAGE = {"go": "go", "js": "js", "jsx": "js", "ts": "js", "tsx": "js", "mjs": "js", "rs": "rs", "java": "java"}
+_LANGUAGE = {"c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "sh": "sh", "bash": "sh", "zsh": "sh", "go": "go", "js": "js", "jsx": "js", "ts": "js", "tsx": "js", "mjs": "js", "rs": "rs", "java": "java"}
 _COMMENT_LINE = re.compile(r"^\s*(?://|#|/?\*|\"\"\"|--|@\w)")
 
 
@@ -122,6 +139,31 @@ def _close(lines: list[str], first: int) -> int | None:
     return None
 
 
+def _keyworded(lines: list[str], language: str) -> list[Chunk] | None:
+    """Declarations that end at the ``end`` in the column of their head; None where one is missing."""
+    heads = [(re.compile(r"^(\s*)" + p), kind, member, container) for p, kind, member, container in _KEYWORD_HEADS[language]]
+
+    def scan(first: int, last: int, indent: int | None, parent: str) -> list[Chunk] | None:
+        found: list[Chunk] = []
+        no = first
+        while no < last:
+            hit = next(((m, k, mem, c) for h, k, mem, c in heads if (m := h.match(lines[no]))), None)
+            if hit and (indent is None and not hit[0][1] or indent is not None and hit[2] and len(hit[0][1]) > indent):
+                m, kind, member, container = hit
+                close = next((i for i in range(no, last) if re.match(rf"^{m[1]}end\b", lines[i]) or (i == no and re.search(r"\bend\s*$", lines[i]))), None)
+                if close is None:
+                    return None
+                body = "\n".join(lines[no : close + 1])
+                found.append(Chunk(member if parent else kind, m["name"], parent, no + 1, close + 1, body.encode()[:MOST_BYTES].decode("utf-8", "ignore") if parent else body))
+                if container:
+                    found += scan(no + 1, close, len(m[1]), m["name"]) or []
+                no = close
+            no += 1
+        return found
+
+    return scan(0, len(lines), None, "")
+
+
 def _python(text: str, lines: list[str]) -> list[Chunk] | None:
     try:
         tree = ast.parse(text)
@@ -151,7 +193,12 @@ def chunk_file(path: str, text: str | None) -> list[Chunk]:
     if lines and lines[-1] == "":
         lines.pop()
     extension = path.rsplit(".", 1)[-1].lower() if "." in path else ""
-    made = _python("\n".join(lines), lines) if extension == "py" else _braced(lines, _LANGUAGE[extension]) if extension in _LANGUAGE else None
+    if extension == "py":
+        made = _python("\n".join(lines), lines)
+    elif extension in _KEYWORD_HEADS:
+        made = _keyworded(lines, extension)
+    else:
+        made = _braced(lines, _LANGUAGE[extension]) if extension in _LANGUAGE else None
     if not made:
         made = windows(lines)
     else:

@@ -41,23 +41,38 @@ def ledger(log: DataFrame, runs: DataFrame, table_name: str) -> DataFrame:
     return mine.join(successful_runs(runs), "run_id", "left_semi")
 
 
-def unprocessed_versions(records: DataFrame, done: DataFrame, key: str, version: str, record_id: str) -> DataFrame:
-    """Ids of records whose (key, version) is in no ledger row; null keys or versions are never in it.  Each id once."""
+def unprocessed_versions(records: DataFrame, done: DataFrame, key: str, version: str, record_id: str, stamp: str) -> DataFrame:
+    """``record_id, stamp`` of records whose (key, version) is in no ledger row; null keys or versions are never in it.
+
+    Each id once, with its largest stamp."""
     pairs = done.select(F.col("record_key").alias("_k"), F.col("content_hash").alias("_v"))
-    rows = records.where(F.col(record_id).isNotNull()).select(F.col(record_id).cast("string").alias("record_id"), F.col(key).alias("_k"), F.lower(version).alias("_v"))
-    return rows.join(pairs, ["_k", "_v"], "left_anti").select("record_id").distinct()
+    rows = records.where(F.col(record_id).isNotNull()).select(F.col(record_id).cast("string").alias("record_id"), F.col(key).alias("_k"), F.lower(version).alias("_v"), F.col(stamp).alias("stamp"))
+    return rows.join(pairs, ["_k", "_v"], "left_anti").groupBy("record_id").agg(F.max("stamp").alias("stamp"))
 
 
 def changed_records(records: DataFrame, done: DataFrame, record_id: str, stamp: str, version: str) -> DataFrame:
-    """Ids whose newest row's version differs from the one logged by the latest successful run that logged them, or that
+    """``record_id, stamp`` of ids whose newest row's version differs from the one logged by the latest successful run that logged them, or that
     none logged.  Letter case does not matter; a null version equals a null logged version.  Each id once."""
-    now = newest_row(records.where(F.col(record_id).isNotNull()), record_id, stamp, version).select(F.col(record_id).alias("record_id"), F.lower(version).alias("_now"))
+    now = newest_row(records.where(F.col(record_id).isNotNull()), record_id, stamp, version).select(F.col(record_id).alias("record_id"), F.col(stamp).alias("stamp"), F.lower(version).alias("_now"))
     logged = done.groupBy(F.col("record_key").alias("record_id")).agg(F.max(F.struct("run_id", "logged_at", "content_hash")).alias("r")).select("record_id", F.col("r.content_hash").alias("_was"), F.lit(True).alias("_logged"))
-    return now.join(logged, "record_id", "left").where("_logged is null or not (_now <=> _was)").select("record_id")
+    return now.join(logged, "record_id", "left").where("_logged is null or not (_now <=> _was)").select("record_id", "stamp")
+
+
+def _utc_nanos(column: str) -> str:
+    """Nanoseconds since the epoch of a timestamp without zone that is meant as UTC, whatever the session's zone."""
+    days = f"cast(datediff(cast({column} as date), date'1970-01-01') as bigint)"
+    return f"({days} * 86400 + hour({column}) * 3600 + minute({column}) * 60) * 1000000000 + cast(extract(second from {column}) * 1000000000 as bigint)"
 
 
 def changes_since_last_run(chunks: DataFrame, nodes: DataFrame, log: DataFrame, runs: DataFrame) -> DataFrame:
-    """``table_name, record_id`` of all chunks and nodes to process in the next run."""
-    a = unprocessed_versions(chunks, ledger(log, runs, "chunks"), "path", "content_sha1", "id").withColumn("table_name", F.lit("chunks"))
+    """``table_name, record_id, lane`` of all chunks and nodes to process in the next run, each once.
+
+    ``lane`` is 'reread' for records stamped at or after the reread point (all, without a successful run), else 'late':
+    records that arrived or changed without a newer stamp, and those without any.  A run takes the first lane first;
+    dropping the second would skip records.
+    """
+    point = reread_from(runs).select(F.expr(_utc_nanos("reread_from")).alias("_point"))
+    a = unprocessed_versions(chunks, ledger(log, runs, "chunks"), "path", "content_sha1", "id", "last_seen_at").withColumn("table_name", F.lit("chunks"))
     b = changed_records(nodes, ledger(log, runs, "graph_nodes"), "id", "last_seen_at", "content_hash").withColumn("table_name", F.lit("graph_nodes"))
-    return a.unionByName(b).select("table_name", "record_id")
+    lane = F.when(F.coalesce(F.col("stamp") >= F.col("_point"), F.col("_point").isNull()), "reread").otherwise("late")
+    return a.unionByName(b).crossJoin(F.broadcast(point)).select("table_name", "record_id", lane.alias("lane"))

@@ -97,7 +97,8 @@ def find_orphans(edges: DataFrame, nodes: DataFrame, chunks: DataFrame, pruned:
     The reference is that of the record's newest row, the period the UTC month of that row (null where it has no stamp).
     A pruned referrer still counts; a target that arrives later than its referrer is there.  Empty tables give no rows.
     """
-    month = F.date_format(F.timestamp_micros(F.floor(F.col("_s") / 1000)), "yyyy-MM").alias("period")
+    # whole days since the epoch make a date without any time zone
+    month = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.expr(f"cast(_s div {86_400 * 10**9}L as int)")), "yyyy-MM").alias("period")
     live_nodes = materialise(living_parents(nodes, "id", "last_seen_at", pruned, "graph_nodes"), "parents")
     newest_edge = edges.where("id is not null").groupBy("id").agg(F.max(F.struct(F.coalesce(F.col("last_seen_at"), F.lit(-1)).alias("_s"), "src_id", "dst_id")).alias("r"))
     edge_refs = newest_edge.select(F.col("id").alias("record_id"), F.expr("nullif(r._s, -1)").alias("_s"), F.explode(F.array(F.struct(F.lit("src_id").alias("field_name"), F.col("r.src_id").alias("ref_key")), F.struct(F.lit("dst_id").alias("field_name"), F.col("r.dst_id").alias("ref_key")))).alias("x"))

@@ -84,20 +84,32 @@ def p2_report(spark, sf):
     return _orphans(spark, sf).groupBy("table_name", "field_name", "period").agg(F.count(F.lit(1)).alias("orphans"))
 
 
-@registry.query(
-    "p7_found",
-    """with ok as (select run_id from index_runs where status = 'ok'),
+_CHANGES = """with ok as (select run_id from index_runs where status = 'ok'),
     done as (select l.table_name, record_key, lower(content_hash) as h, run_id, logged_at from index_log l join ok using (run_id)),
-    now as (select id, lower(content_hash) as h from graph_nodes qualify row_number() over (partition by id order by last_seen_at desc) = 1),
-    was as (select record_key, h from done where table_name = 'graph_nodes' qualify row_number() over (partition by record_key order by run_id desc, logged_at desc, h desc) = 1)
-    select distinct 'chunks' as table_name, cast(c.id as varchar) as record_id from chunks c
-      where not exists (select 1 from done d where d.table_name = 'chunks' and d.record_key = c.path and d.h = lower(c.content_sha1))
-    union all select 'graph_nodes', id from now left join was on record_key = id where record_key is null or now.h is distinct from was.h""",
-)
-def p7_found(spark, sf):
+    now as (select id, last_seen_at, lower(content_hash) as h from graph_nodes qualify row_number() over (partition by id order by last_seen_at desc) = 1),
+    was as (select record_key, h from done where table_name = 'graph_nodes' qualify row_number() over (partition by record_key order by run_id desc, logged_at desc, h desc) = 1),
+    found as (select 'chunks' as table_name, cast(c.id as varchar) as record_id, max(last_seen_at) as stamp from chunks c
+      where not exists (select 1 from done d where d.table_name = 'chunks' and d.record_key = c.path and d.h = lower(c.content_sha1)) group by c.id
+    union all select 'graph_nodes', id, last_seen_at from now left join was on record_key = id where record_key is null or now.h is distinct from was.h),
+    last as (select run_id, started_at as s from index_runs where status = 'ok' order by run_id desc limit 1),
+    point as (select epoch_us(least(s, (select min(started_at) from index_runs r, last where r.started_at <= s and (r.finished_at is null or r.finished_at >= s)))) * 1000 as p from last)
+"""
+
+
+def _changes(spark, sf):
     return incremental.changes_since_last_run(*[table(spark, sf, t) for t in ("chunks", "graph_nodes", "index_log", "index_runs")])
 
 
+@registry.query("p7_found", _CHANGES + "select table_name, record_id from found")
+def p7_found(spark, sf):
+    return _changes(spark, sf).select("table_name", "record_id")
+
+
+@registry.query("p7_lanes", _CHANGES + "select table_name, case when stamp >= p then 'reread' else 'late' end as lane, count(*) as records from found, point group by all")
+def p7_lanes(spark, sf):
+    return _changes(spark, sf).groupBy("table_name", "lane").agg(F.count(F.lit(1)).alias("records"))
+
+
 @registry.query(
     "p7_reread",
     """with last as (select run_id as last_ok_run, started_at as s from index_runs where status = 'ok' order by run_id desc limit 1)

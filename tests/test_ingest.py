@@ -116,6 +116,16 @@ def test_chunks_cover_every_line():
     foo = next(c for c in chunking.chunk_file("a.go", GO) if c.name == "Foo")
     assert foo.start == 5 and foo.content.startswith("// Foo says.")
     assert ("method_definition", "run", "A") in {(c.kind, c.name, c.parent) for c in chunking.chunk_file("a.ts", ts)}
+    more = {
+        "a.c": ("#include <x.h>\n\nstruct point {\n  int x;\n};\n\nstatic int add(int a, int b)\n{\n  return a + b;\n}\n", {("struct_specifier", "point", ""), ("function_definition", "add", "")}),
+        "a.cpp": ("class Box {\n public:\n  int size() const {\n    return 1;\n  }\n};\n\nint Box::other() {\n  return 2;\n}\n", {("class_specifier", "Box", ""), ("function_definition", "size", "Box"), ("function_definition", "other", "")}),
+        "a.sh": ("#!/bin/sh\nsetup() {\n  echo x\n}\n\nfunction run {\n  setup\n}\n", {("function_definition", "setup", ""), ("function_definition", "run", "")}),
+        "a.rb": ("module M\n  def self.a\n    1\n  end\n\n  def b\n    2\n  end\nend\n\nclass C\n  def c\n    3\n  end\nend\n", {("module", "M", ""), ("singleton_method", "a", "M"), ("method", "b", "M"), ("class", "C", "")}),
+        "a.lua": ("local function a()\n  return 1\nend\n\nfunction M.b(x)\n  return x\nend\n", {("local_function_declaration_statement", "a", ""), ("function_declaration_statement", "M.b", "")}),
+    }
+    for path, (text, want) in more.items():
+        got = {(c.kind, c.name, c.parent) for c in chunking.chunk_file(path, text) if c.kind != "orphan"}
+        assert got == want, path
     assert chunking.chunk_file("a.go", None) == [] and chunking.chunk_file("a.go", " \n") == []
     assert chunking.import_block("a.py", "import os\nfrom a import (\n  b,\n)\n\nx = 1\nimport z\n") == "import os\nfrom a import (\n  b,\n)"
 

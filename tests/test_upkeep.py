@@ -134,17 +134,17 @@ def test_changes_since_the_last_successful_run(spark):
         ],
         LOG,
     )
-    chunks = spark.createDataFrame([(1, "a.py", "aA", "x"), (2, "b.py", "bb", "x"), (2, "b.py", "bb", "x"), (3, None, "cc", "x"), (4, "a.py", None, "x"), (None, "z", "z", "x")], "id bigint, path string, content_sha1 string, run_id string")
+    chunks = spark.createDataFrame([(1, "a.py", "aA", 1, "x"), (2, "b.py", "bb", 1, "x"), (2, "b.py", "bb", 2, "x"), (3, None, "cc", 4 * 10**18, "x"), (4, "a.py", None, None, "x"), (None, "z", "z", 1, "x")], "id bigint, path string, content_sha1 string, last_seen_at bigint, run_id string")
     nodes = spark.createDataFrame([("n1", "h2", 5), ("n1", "h1", 1), ("n2", "h2", 5), ("n3", "h3", 5), ("n4", None, 5)], "id string, content_hash string, last_seen_at bigint")
     got = {tuple(r) for r in incremental.changes_since_last_run(chunks, nodes, log, runs).collect()}
-    assert got == {("chunks", "2"), ("chunks", "3"), ("chunks", "4"), ("graph_nodes", "n2"), ("graph_nodes", "n3"), ("graph_nodes", "n4")}
+    assert got == {("chunks", "2", "late"), ("chunks", "3", "reread"), ("chunks", "4", "late"), ("graph_nodes", "n2", "late"), ("graph_nodes", "n3", "late"), ("graph_nodes", "n4", "late")}
 
 
 def test_nothing_ran_yet(spark):
     runs, log = spark.createDataFrame([], RUNS), spark.createDataFrame([], LOG)
-    chunks = spark.createDataFrame([(1, "a", "b")], "id bigint, path string, content_sha1 string")
+    chunks = spark.createDataFrame([(1, "a", "b", 1)], "id bigint, path string, content_sha1 string, last_seen_at bigint")
     nodes = spark.createDataFrame([], "id string, content_hash string, last_seen_at bigint")
-    assert [tuple(r) for r in incremental.changes_since_last_run(chunks, nodes, log, runs).collect()] == [("chunks", "1")]
+    assert [tuple(r) for r in incremental.changes_since_last_run(chunks, nodes, log, runs).collect()] == [("chunks", "1", "reread")]
     assert [tuple(r) for r in incremental.reread_from(runs).collect()] == [(None, None)]
 
 
@@ -154,17 +154,17 @@ def test_reread_point_reaches_back_to_runs_still_open(spark):
 
 
 def test_a_failed_run_neither_skips_nor_repeats(spark):
-    chunks = [(i, f"f{i}", f"s{i}") for i in range(20)]
-    df = spark.createDataFrame(chunks, "id bigint, path string, content_sha1 string")
+    chunks = [(i, f"f{i}", f"s{i}", i) for i in range(20)]
+    df = spark.createDataFrame(chunks, "id bigint, path string, content_sha1 string, last_seen_at bigint")
     nodes = spark.createDataFrame([], "id string, content_hash string, last_seen_at bigint")
     runs, log, seen = [], [], Counter()
     for n, (status, taken) in enumerate([("ok", 8), ("failed", 5), ("ok", 99)], 1):
         now = incremental.changes_since_last_run(df, nodes, spark.createDataFrame(log, LOG), spark.createDataFrame(runs, RUNS)).collect()
         batch = [chunks[int(r.record_id)] for r in now][:taken]
         runs.append((n, _at(n), _at(n), status))
-        log += [(n, "chunks", p, s, _at(n)) for _, p, s in batch]
+        log += [(n, "chunks", p, s, _at(n)) for _, p, s, _ in batch]
         if status == "ok":
-            seen.update(i for i, _, _ in batch)
+            seen.update(r[0] for r in batch)
     assert seen == Counter(range(20))
 
 
