@@ -81,7 +81,9 @@ def missing_references(refs: DataFrame, parents: DataFrame, keys: DataFrame | No
     hot = {r: -(-c // _REFERENCES_PER_TASK) for r, c in load.items() if c > _REFERENCES_PER_TASK}
     salts = F.create_map(*[F.lit(x) for kv in hot.items() for x in kv]) if hot else None
     copies = (lambda c: F.coalesce(salts[c], F.lit(1))) if hot else (lambda c: F.lit(1))
-    left = refs.withColumn("rng", F.expr(_range_of("h", ranges))).withColumn("salt", F.pmod(F.monotonically_increasing_id(), copies(F.col("rng")).cast("long")).cast("int"))
+    # the salt follows from the row itself, so a task that is run again after a loss sends each row where it went before
+    row = F.xxhash64(*[F.col(c) for c in refs.columns if c != "h"])
+    left = refs.withColumn("rng", F.expr(_range_of("h", ranges))).withColumn("salt", F.pmod(row, copies(F.col("rng")).cast("long")).cast("int"))
     arrays = (
         parents.groupBy(F.expr(_range_of("h", ranges)).alias("rng"))
         .agg(F.array_sort(F.collect_list(F.struct("h", F.col("parent_key").alias("k")))).alias("entries"))
