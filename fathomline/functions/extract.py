@@ -224,7 +224,7 @@ def build_graph(records: DataFrame, module: str) -> tuple[DataFrame, DataFrame]:
 
 def _call_edges(records: DataFrame, symbols: DataFrame, module: str, edge) -> DataFrame:
     c = F.col
-    calls = records.where("rec = 'call'").withColumn("no", F.monotonically_increasing_id())
+    calls = records.where("rec = 'call'").withColumn("no", F.xxhash64("path", "qualified", "lane", "base", "name", "start_line"))
     table = symbols.select(c("package").alias("t_package"), c("qualified").alias("t_name"), "id").dropDuplicates(["t_package", "t_name"])
     known = records.where("rec = 'import'").select("path", c("name").alias("alias"), "target", "symbol").dropDuplicates(["path", "alias"])
 
