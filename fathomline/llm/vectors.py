@@ -6,9 +6,9 @@ Two codes that differ in fewer bits than there are substrings agree in at least
 each substring of a vector finds every code within that Hamming radius, and most beyond it.  What a substring's bucket
 holds is reranked by the cosine of the original floats in double precision.
 
-Equal vectors are searched once, whatever their number.  A bucket above a bound is divided by the signs of further
-projections around its own mean until its parts are below the bound; no bucket is compared in one piece because many
-vectors share it, and none is cut off.
+Equal vectors are searched once, whatever their number.  A bucket above a bound is dealt into blocks, every two of which
+are compared in a task of their own; no bucket is compared in one piece because many vectors share it, and none of its
+pairs is left out.
 """
 
 from __future__ import annotations
@@ -95,36 +95,21 @@ def _with_codes(vectors: DataFrame, centre: np.ndarray, rotations: np.ndarray, b
     return vectors.select("g", "vec").mapInArrow(run, "g bigint, v binary, buckets array<bigint>")
 
 
-def _divide(rows: DataFrame, largest: int, dimensions: int) -> DataFrame:
-    """Rows (bucket, g, v) with new bucket numbers such that no bucket holds more than ``largest`` rows.
+def _blocks(rows: DataFrame, largest: int) -> DataFrame:
+    """Rows (bucket, g, v) in which a bucket of more than ``largest`` rows is replaced by cells that each hold two of its blocks.
 
-    Each round takes only the buckets that are too large, and splits each by the signs of eight projections around the
-    means of its own rows.  Vectors differ, so every round divides; what a few rounds leave is a bug, not data.
+    A hash deals the rows of such a bucket into three or more blocks of about half of ``largest``.  Every two blocks meet in
+    one cell, so all pairs of the bucket are still compared; a row is sent once for each other block of its bucket.
     """
-    done: list[DataFrame] = []
-    for turn in range(40):
-        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
-        large = sizes.where(F.col("rows") > largest).select("bucket")
-        if large.isEmpty():
-            break
-        large = materialise(large, "large-buckets")
-        done.append(rows.join(large, "bucket", "left_anti"))
-        directions = np.random.default_rng(9000 + turn).normal(size=(dimensions, 8)) / math.sqrt(dimensions)
-
-        def project(batches: Iterator[pa.RecordBatch], directions: np.ndarray = directions) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    y = _unit(_flat(batch.column(2)), dimensions) @ directions
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, 8, dtype=np.int32)), pa.array(y.ravel()))], names=["bucket", "g", "v", "y"])
-
-        hot = materialise(rows.join(large, "bucket", "left_semi").select("bucket", "g", "v").mapInArrow(project, "bucket bigint, g bigint, v binary, y array<double>"), "large-rows")
-        means = hot.groupBy("bucket").agg(*[F.avg(F.col("y")[i]).alias(f"m{i}") for i in range(8)])
-        side = sum((F.col("y")[i] >= F.col(f"m{i}")).cast("int") * (1 << i) for i in range(8))
-        rows = hot.join(means, "bucket").select(F.xxhash64("bucket", side, F.lit(turn)).alias("bucket"), "g", "v")
-    out = rows
-    for part in done:
-        out = out.unionByName(part)
-    return out
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
+    large = materialise(sizes.where(F.col("rows") > largest).select("bucket", F.ceil(F.col("rows") / (largest / 2)).alias("blocks")), "large-buckets")
+    if large.isEmpty():
+        return rows
+    own = F.pmod(F.xxhash64("g", F.lit(11)), F.col("blocks"))
+    others = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda j: j != own)
+    cells = F.transform(others, lambda j: F.xxhash64("bucket", F.least(own, j), F.greatest(own, j)))
+    dealt = rows.join(large, "bucket", "left").withColumn("cells", F.when(F.col("blocks").isNull(), F.array("bucket")).otherwise(cells))
+    return dealt.select(F.explode("cells").alias("bucket"), "g", "v")
 
 
 def _rank_bucket(g: np.ndarray, raw: np.ndarray, k: int, least: float, dimensions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,7 +193,7 @@ def nearest_vectors(rows: DataFrame, k: int = NEIGHBOURS, least: float = LEAST_S
     sample /= np.sqrt((sample * sample).sum(axis=1, keepdims=True))
     centre, rotations = learn_rotations(sample, -(-indexes // (dimensions // bits)))
     coded = materialise(_with_codes(vectors, centre, rotations, bits, indexes, dimensions), "codes")
-    spread = _divide(coded.select(F.explode("buckets").alias("bucket"), "g", "v"), largest, dimensions)
+    spread = _blocks(coded.select(F.explode("buckets").alias("bucket"), "g", "v"), largest)
     ordered = spread.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "g", "v")
     pairs = ordered.mapInArrow(_search(k, least, dimensions), "g bigint, h bigint, similarity double")
     # at most (k + 3) entries of each index come together for one vector

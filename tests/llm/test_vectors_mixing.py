@@ -71,6 +71,14 @@ def test_large_buckets_are_divided(spark):
     assert len(each) == 900 and len(got) > 1500
 
 
+def test_neighbours_in_a_cluster_of_a_third_of_the_rows(spark):
+    rng = np.random.default_rng(11)
+    tight = rng.normal(size=64) + 0.23 * rng.normal(size=(500, 64))  # cosines of about 0.95
+    rows = _world(12, 1000, 1, 0.0) + [(2000 + i, v.astype(np.float32).tolist(), 1, None, None, None) for i, v in enumerate(tight)]
+    want, got = _truth(rows), _found(spark, rows, largest=60)
+    assert len(want & got) >= 0.9 * len(want)
+
+
 def test_shape_of_the_index():
     for n in (2, 1_000, 100_000, 10**8):
         bits, indexes = vectors.index_shape(n, 0.85)
