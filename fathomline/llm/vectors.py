@@ -112,8 +112,27 @@ def _blocks(rows: DataFrame, largest: int) -> DataFrame:
     return dealt.select(F.explode("cells").alias("bucket"), "g", "v")
 
 
+def _first_of_each(x: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the rows ``at`` their ``k`` best others by (rounded cosine in double precision, position), as pairs of positions."""
+    rows, cols = [], []
+    for a in range(0, len(at), 128):
+        own = at[a : a + 128]
+        s = np.round(x[own] @ x.T, 6)
+        s[np.arange(len(own)), own] = -2
+        last = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+        above, tied = s > last, s == last
+        # of those tied with the k-th, the first positions fill what is left of k
+        above |= tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= k - above.sum(axis=1, keepdims=True))
+        r, c = np.nonzero(above)
+        rows.append(own[r])
+        cols.append(c)
+    return np.concatenate(rows), np.concatenate(cols)
+
+
 def _rank_bucket(g: np.ndarray, raw: np.ndarray, k: int, least: float, dimensions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each vector of a bucket its ``k`` best others with a rounded cosine of at least ``least``."""
+    """For each vector of a bucket at least its ``k`` best others with a rounded cosine of at least ``least``; ties go to the smaller id."""
+    order = np.argsort(g, kind="stable")  # positions are in the order of the ids
+    g, raw = g[order], raw.reshape(len(g), dimensions)[order]
     x = _unit(raw, dimensions)
     low = x.astype(np.float32)
     n, take = len(g), min(k + 3, len(g) - 1)
@@ -123,15 +142,14 @@ def _rank_bucket(g: np.ndarray, raw: np.ndarray, k: int, least: float, dimension
         s[np.arange(len(s)), np.arange(a, a + len(s))] = -2
         near = s >= least - 1e-4
         full = np.flatnonzero(near.sum(axis=1) > take)
-        few = near.copy()
-        few[full] = False
-        r, c = np.nonzero(few)
+        near[full] = False
+        r, c = np.nonzero(near)
         rows.append(r + a)
         cols.append(c)
         if len(full):
-            best = np.argpartition(-s[full], take - 1, axis=1)[:, :take]
-            rows.append(np.repeat(full + a, take))
-            cols.append(best.ravel())
+            r, c = _first_of_each(x, full + a, k)
+            rows.append(r)
+            cols.append(c)
     r, c = np.concatenate(rows), np.concatenate(cols)
     exact = np.round(np.einsum("ij,ij->i", x[r], x[c]), 6)
     keep = exact >= least
@@ -196,7 +214,7 @@ def nearest_vectors(rows: DataFrame, k: int = NEIGHBOURS, least: float = LEAST_S
     spread = _blocks(coded.select(F.explode("buckets").alias("bucket"), "g", "v"), largest)
     ordered = spread.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "g", "v")
     pairs = ordered.mapInArrow(_search(k, least, dimensions), "g bigint, h bigint, similarity double")
-    # at most (k + 3) entries of each index come together for one vector
+    # at most (k + 3) entries of each bucket or cell come together for one vector
     best = pairs.groupBy("g").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("similarity")).alias("s"), "h"))), 1, k + 1).alias("near"))
     groups = firsts.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("g"), "ids", "h1", "h2")
     # the ids behind each neighbouring vector; a vector is its own neighbour where several ids have it

@@ -79,6 +79,17 @@ def test_neighbours_in_a_cluster_of_a_third_of_the_rows(spark):
     assert len(want & got) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("largest", [8192, 60])
+def test_copies_of_different_lengths_have_the_smallest_ids(spark, largest):
+    rng = np.random.default_rng(13)
+    one = rng.normal(size=64)
+    ids = rng.permutation(np.arange(2000, 2150)).tolist()
+    rows = _world(14, 100, 1, 0.0) + [(i, (one * f).astype(np.float32).tolist(), 1, None, None, None) for i, f in zip(ids, rng.uniform(0.5, 2, 150))]
+    near = vectors.nearest_vectors(spark.createDataFrame(rows, ROW), largest=largest).where("id >= 2000").collect()
+    got = {i: [r.neighbour for r in sorted(near, key=lambda r: r["rank"]) if r.id == i] for i in ids}
+    assert got == {i: [j for j in range(2000, 2006) if j != i][:5] for i in ids}
+
+
 def test_shape_of_the_index():
     for n in (2, 1_000, 100_000, 10**8):
         bits, indexes = vectors.index_shape(n, 0.85)
