@@ -41,11 +41,21 @@ _LONG_LINE = 300
 #: lines of data that a table needs before its file counts as data, and their share of the chunk's lines
 _DATA_LINES = {"config": 40, "other": 14}
 _DATA_SHARE = 0.7
+#: per language: share of a chunk's characters in encoded runs or in numeric literals from which it is data, and their least number,
+#: which is about what the least lines of data hold
+_DENSE = {"style": (0.6, 1000), "config": (0.7, 1500), "other": (0.6, 1000)}
 _CONFIG = ("json", "yaml", "yml", "toml", "ini", "env", "tf", "sql", "md")
 
 _NUMBERS_LINE = r"^\s*[\[({]?\s*(?:[-+]?(?:0[xXbBoO][0-9a-fA-F_]+|\d[\d_]*\.?\d*(?:[eE][-+]?\d+)?)[fFuUlL]*\s*[,;]?\s*){4,}[\])}]*[,;]?\s*$"
-_RECORD_LINE = r"^\s*[\[({]\s*(?:(?:\"[^\"]*\"|'[^']*'|[-+]?\d[\d_.]*|null|None|true|false)\s*,\s*){2,}(?:\"[^\"]*\"|'[^']*'|[-+]?\d[\d_.]*|null|None|true|false)\s*,?\s*[\])}][,;]?\s*$"
+# the same for lines of any length: a possessive repetition costs no stack
+_LONG_NUMBERS_LINE = _NUMBERS_LINE.replace("{4,}", "{4,}+")
+_ITEM = r"(?:\"[^\"]*\"|'[^']*'|[-+]?\d[\d_.]*|null|None|true|false)"
+_RECORD_LINE = rf"^\s*[\[({{]\s*(?:(?:{_ITEM}\s*,\s*){{3,}}+(?:{_ITEM}\s*,?\s*)?|(?:{_ITEM}\s*,\s*){{2}}{_ITEM}\s*,?\s*)[\])}}][,;]?\s*$"
 _ENCODED_LINE = r"^\s*[\"']?[A-Za-z0-9+/=_-]{40,}[\"']?\s*[+,;\\)]?\s*$"
+# long base64 (with digits and capitals) and hexadecimal runs, and runs of escapes; possessive, so that length costs no stack
+_ENCODED_RUN = r"(?<![A-Za-z0-9+/=_-])(?:(?=[A-Za-z0-9+/=_-]{40})(?=[A-Za-z+/=_-]*+[0-9])(?=[a-z0-9+/=_-]*+[A-Z])[A-Za-z0-9+/=_-]++|(?:0[xX])?[0-9a-fA-F]{40,}+)|(?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\[0-7]{3}){12,}+"
+#: a numeric literal with the brackets and separators that follow it
+_NUMBER = r"(?<![\w.])[-+]?(?:0[xXbBoO][0-9a-fA-F_]++|\d[\d_]*+(?:\.[\d_]*+)?(?:[eE][-+]?\d++)?|\.\d++)(?:[iuf](?:8|16|32|64|128|size)|[fFuUlLdDnN]{0,3}+)(?!\w)[\s,;()\[\]{}]*+"
 
 
 def _extension(path: str) -> Column:
@@ -55,15 +65,17 @@ def _extension(path: str) -> Column:
 def layout(chunks: DataFrame) -> DataFrame:
     """Per chunk: ``path`` and the layout statistics, all by built-in expressions.
 
-    ``longest_line, mean_line, whitespace, alphanumeric, punctuation, digits`` (shares of all characters) and the numbers
-    of lines, of lines of data, and of long encoded runs.  Null contents count as empty.
+    ``longest_line, mean_line, whitespace, alphanumeric, punctuation`` (shares of all characters), the numbers of lines and of
+    lines of data, and the numbers of characters in long encoded runs and in numeric literals, however they are broken into
+    lines.  Null contents count as empty.
     """
     text = F.coalesce("content", F.lit(""))
     size = F.greatest(F.length(text), F.lit(1))
     count = lambda keep: F.lit(1.0) * F.length(F.regexp_replace("_t", keep, "")) / F.col("_n")
+    without = lambda what: F.length("_t") - F.length(F.regexp_replace("_t", what, ""))
     lines = F.split("_t", r"\r?\n")
     sized = chunks.select("path", "kind", text.alias("_t"), size.alias("_n")).withColumn("_lines", F.filter(lines, lambda x: F.length(F.trim(x)) > 0))
-    is_data = lambda x: x.rlike(_NUMBERS_LINE) | x.rlike(_RECORD_LINE)
+    is_data = lambda x: F.when(F.length(x) <= _LONG_LINE, x.rlike(_NUMBERS_LINE)).otherwise(x.rlike(_LONG_NUMBERS_LINE)) | x.rlike(_RECORD_LINE)
     is_run = lambda x: x.rlike(_ENCODED_LINE) & x.rlike("[0-9]") & x.rlike("[A-Z]")
     # only long lines can be minified, and only lines beginning like literals can be data: most chunks skip the costly part
     longest = F.coalesce(F.array_max(F.transform("_lines", F.length)), F.lit(0))
@@ -77,7 +89,9 @@ def layout(chunks: DataFrame) -> DataFrame:
         F.when(longest >= _LONG_LINE, count(r"[^\s]")).alias("whitespace"),
         F.when(longest >= _LONG_LINE, count(r"[^\p{L}\p{N}]")).alias("alphanumeric"),
         F.when(longest >= _LONG_LINE, count(r"[^;{}()=,:!&?<>+\[\]]")).alias("punctuation"),
-        F.when(F.col("_t").rlike(r"\d"), count(r"[^0-9]")).alias("digits"),
+        "_n",
+        without(_ENCODED_RUN).alias("encoded"),
+        F.when(F.col("_t").rlike(r"\d"), without(_NUMBER)).otherwise(0).alias("numeric"),
         F.size(F.filter("_lines", lambda x: is_data(x) | is_run(x))).alias("data_lines"),
     )
 
@@ -97,7 +111,9 @@ def classify_files(chunks: DataFrame) -> DataFrame:
     stats = layout(chunks.where("path is not null"))
     minified = code & ~config & (F.col("longest_line") >= _LONG_LINE) & (F.col("mean_line") >= pick(0)) & (F.col("whitespace") <= pick(1)) & F.col("alphanumeric").between(pick(2), pick(3)) & (F.col("punctuation") >= pick(4))
     enough = F.when(config, _DATA_LINES["config"]).otherwise(_DATA_LINES["other"])
-    data = code & (F.col("data_lines") >= enough) & (F.col("data_lines") >= _DATA_SHARE * F.col("lines"))
+    dense = lambda i: F.when(style, _DENSE["style"][i]).when(config, _DENSE["config"][i]).otherwise(_DENSE["other"][i])
+    solid = lambda chars: (F.col(chars) >= dense(1)) & (F.col(chars) >= dense(0) * F.col("_n"))
+    data = code & (((F.col("data_lines") >= enough) & (F.col("data_lines") >= _DATA_SHARE * F.col("lines"))) | solid("encoded") | solid("numeric"))
     flags = stats.select(
         "path",
         (code & F.col("_t").rlike(_GENERATED_BANNER)).alias("g"),

@@ -191,6 +191,20 @@ def test_files_that_are_not_handwritten(spark):
     assert provenance.not_handwritten(df.limit(0)).count() == 0
 
 
+def test_data_on_one_line(spark):
+    rnd = random.Random(3)
+    base64 = "".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=100_000))
+    decimals = ", ".join(f"{rnd.random():.5f}" for _ in range(20_000))
+    data = {
+        "a.js": f'const X = "{base64}";', "b.py": "X = b'" + "".join(f"\\x{rnd.randint(0, 255):02x}" for _ in range(20_000)) + "'", "c.go": "var w = []float64{" + decimals + "}", "c.py": decimals,
+        "d.json": f'{{"blob": "{base64}"}}', "e.yaml": f"blob: {base64}", "f.sql": f"insert into t values ('{base64}');", "g.json": f"[{decimals}]", "h.css": f".a{{background:url(data:image/png;base64,{base64})}}",
+        "i.rs": 'const K: &str = "' + "".join(rnd.choices("0123456789abcdef", k=4000)) + '";', "j.ts": "const t = [" + ",".join(f"[{i},{i * 7}]" for i in range(2000)) + "];",
+    }
+    own = {"k.py": f'KEY = "{base64[:90]}"\n\ndef f(x):\n    return x + 1\n', "l.json": '{"integrity": "' + base64[:88] + '", "n": [1, 2, 3]}', "m.go": "func f(a int) int { return a*31 + 7 }\n" * 60}
+    df = spark.createDataFrame([(p, "window", t) for p, t in {**data, **own}.items()], "path string, kind string, content string")
+    assert {r.path for r in provenance.classify_files(df).where("data").collect()} == set(data)
+
+
 @pytest.mark.parametrize(
     "text",
     ["# {{ project_name }}\n\nReal text follows here and goes on.", "This is release ${version} of 3.", "Maintained by <%= count %>.", "# [INSERT PROJECT]", "By <your name here>", "Hi %(name)s", "# __TITLE__", "@@owner@@ wrote it", "# %date%", "# $owner$", "Welcome to {count}!", "# [object Object]", "# undefined undefined", "{% block title %}",
