@@ -70,13 +70,22 @@ def is_test(path: Column) -> Column:
     return path.rlike(TEST_PATTERN)
 
 
-def looks_secret(path: Column, content: Column) -> Column:
-    """A secret shape in the first 4,096 characters of a file that is no test."""
-    return ~is_test(path) & F.substring(F.coalesce(content, F.lit("")), 1, 4096).rlike(SECRET_PATTERN)
+SECRET_SNIFF, BINARY_SNIFF = 4096, 8192  # characters that the reference looks at
 
 
-def looks_binary(content: Column) -> Column:
-    return F.instr(F.substring(F.coalesce(content, F.lit("")), 1, 8192), "\x00") > 0
+def _sniffed(content: Column, sniff: int | None) -> Column:
+    text = F.coalesce(content, F.lit(""))
+    return text if sniff is None else F.substring(text, 1, sniff)
+
+
+def looks_secret(path: Column, content: Column, sniff: int | None = None) -> Column:
+    """A secret shape in a file that is no test; ``sniff`` looks at that many characters only."""
+    return ~is_test(path) & _sniffed(content, sniff).rlike(SECRET_PATTERN)
+
+
+def looks_binary(content: Column, sniff: int | None = None) -> Column:
+    """A NUL in the content; ``sniff`` looks at that many characters only."""
+    return F.instr(_sniffed(content, sniff), "\x00") > 0
 
 
 def tags(path: Column) -> Column:
