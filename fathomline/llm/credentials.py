@@ -94,7 +94,7 @@ def _is_password(key: str) -> bool:
 
 # Pieces of text, lower case, one of which stands on every line where a secret is named or begins; and those
 # that begin or stand inside issued tokens.
-_FRAGMENTS = "pass pwd pw secret token key cred bearer auth cookie sid pem jwt login log-in signs logs -u :// hooks.".split()
+_FRAGMENTS = [*"pass pwd pw secret token key cred bearer auth cookie sid session signature pem jwt pin login logon log-in signs logs -u :// hooks.".split(), "sign in", "log in"]
 _ISSUED_FRAGMENTS = "akia asia agpa aroa ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- xoxa xoxb xoxe xoxo xoxp xoxr xoxs sk_ rk_ pk_ sk- aiza eyj npm_ sg. hf_ _live_ _prod_ _pat_ _sec_ _secret_ _key_ _tok_ _token_ _api_".split()
 
 

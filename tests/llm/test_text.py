@@ -153,6 +153,18 @@ def test_what_is_no_credential(ext, text):
     assert credentials.find_credentials(text, ext) == []
 
 
+@pytest.mark.parametrize(
+    "line",
+    [f"# {w} as deploy / Xk9!fQ27vb" for w in ("sign in", "signs in", "log in", "logs in", "login", "logon", "authenticates")]
+    + [f"# the {w} is Xk9!fQ27vb" for w in ("pass", "password", "passphrase", "passwd", "passcode", "pwd", "secret", "api key", "access-key", "token", "auth token", "credential", "credentials", "pin")]
+    + [f"# {w} Xk9!fQ27vb" for w in ("pw", "pwd", "pass", "password", "passphrase", "secret", "token")]
+    + ["x-hub-signature: Xk9fQ27vbLm3", "x-session: Xk9fQ27vbLm3", 'sessionid = "Xk9fQ27vbLm3"'],
+)
+def test_every_alternative_is_reachable(line):
+    found = credentials.find_credentials(line + "\n", "py")
+    assert len(found) == 1 and line[found[0].start : found[0].end].startswith("Xk9")
+
+
 def test_credentials_of_a_table(spark):
     text = "ünï = 1\r\npassword = \"Tr0ub4dor&3x\"\r\n"
     rows = [(1, "a.py", text, "x"), (1, "a.py", text, "x"), (2, None, text, "x"), (3, "a.py", None, "x"), (4, "a.py", "", "x"), (None, "a.py", text, "x"), (5, "b.py", "x" * 200_000 + "\n" + text, "x")]
