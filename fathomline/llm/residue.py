@@ -46,17 +46,19 @@ lorem ipsum | dolor sit amet | body copy. | sample copy for | ^sample heading |
 """
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z0-9_]+)*"
+_IN_PARAGRAPH = r"(?:[^{0}\n]|\n(?![ \t]*\n))+"  # no blank line and no closing bracket
 # The shapes of unfilled placeholders.
 _PLACEHOLDER = re.compile(
     "|".join(
         [
-            r"\{\{-?\s*" + _NAME + r"[^{}\n]{0,60}\}\}",
-            r"\{%-?\s*\w+[^%\n]{0,80}%\}",
-            r"<%[=-]?\s*" + _NAME + r"[^%\n]{0,60}%>",
+            r"\{\{-?\s*[A-Za-z_][^{}\n]*\}\}",
+            r"\{%-?\s*\w[^%\n]*%\}",
+            r"<%[=-]?\s*[A-Za-z_][^%\n]*%>",
             r"[$#]\{" + _NAME + r"\}",
             r"\[\[" + _NAME + r"\]\]",
-            r"(?i:\[(?:insert|your|enter|add)\s[^\]\n]{1,40}\])",
-            r"(?i:<(?:insert|your|enter)\s[^>\n]{1,40}>)",
+            # up to the bracket within the paragraph; a long text in square brackets may also be that of a link
+            r"(?i:\[(?:insert|your|enter|add)\s(?:[^\]\n]{1,40}\]|" + _IN_PARAGRAPH.format(r"\]") + r"\](?![(\[:])))",
+            r"(?i:<(?:insert|your|enter)\s" + _IN_PARAGRAPH.format(">") + ">)",
             r"%\(" + _NAME + r"\)[sdfr]",
             r"(?<![\w%])%[A-Za-z_]{3,40}%(?![\w%])",
             r"(?<![\w$])\$[A-Za-z_]{3,40}\$(?![\w$])",

@@ -195,6 +195,20 @@ OWN = {
 }
 
 
+@pytest.mark.parametrize(
+    "shape",
+    ["[Insert a short description of the project and its goals here]", "[your name, the name of your team and\nthe date on which this was written]", "<insert the address of the server that the tests are to use>"]
+    + ["{{ name | default('" + "a long default " * 6 + "') }}", "{% if name and " + "other and " * 10 + "last %}", "<%= name or " + "other or " * 10 + "last %>"],
+)
+def test_long_placeholders(shape):
+    assert residue._PLACEHOLDER.search(f"Some text before {shape} and after.").group() == shape
+
+
+def test_no_placeholder_over_a_blank_line_or_in_a_link():
+    for text in ("[add one item for each\n\nof the others]", "<your own\n \nvalue>", "[Your guide to the settings of the account and all that follows](https://x.example/y)"):
+        assert residue._PLACEHOLDER.search(text) is None
+
+
 def test_files_that_are_not_handwritten(spark):
     rows = [(p, "window", t) for p, t in {**FILES, **OWN}.items()] + [("a/own.py", "file_summary", "# Code generated by x"), (None, "window", "x"), ("a/none.py", None, None), ("a/own.py", "window", "")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "path string, kind string, content string, lines int")
