@@ -1,10 +1,12 @@
 """Credentials embedded in source code and configuration.
 
-A text is parsed into assignments, each with its key path and the span of its value: quoted literals of program text,
-JSON, YAML (with nesting and name/value pairs), INI and TOML sections, environment files, command options, headers and
-phrases in comments.  A value is a credential if its key name is sensitive and its shape is that of a literal secret, or if
-its shape alone says so (issuer prefixes, signed tokens, private key blocks, addresses with a password).  Redactions are
-spliced into the original text at these spans; every other character stays where it was.
+Configuration is parsed by :mod:`fathomline.llm.keypaths` into values with their whole key paths and offsets: a value is
+tested where its last key or, under a neutral key, one that encloses it is sensitive.  Program text gives assignments of
+quoted literals, command options, headers and phrases in comments.  A value is a credential if its shape is that of a
+literal secret, or if its shape alone says so (issuer prefixes, signed tokens, private key blocks, addresses with a
+password).  Redactions are spliced into the original text at these spans; every other character stays where it was.
+
+All scans are linear in the length of a text: key paths are computed in one pass, and patterns start at word borders only.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomline.llm import keypaths
+
 
 class Credential(NamedTuple):
     start: int  # offset of the value in characters
@@ -67,6 +71,20 @@ def _is_literal_secret(value: str, password: bool) -> bool:
     return (digits and not v.replace(".", "").isdigit()) or (mixed and (len(v) >= 16 or odd)) or (password and (odd or (mixed and not v.isalpha())))
 
 
+# Words of sentences and of messages about passwords, none of which stands in a passphrase.
+_SENTENCE = frozenset("the and for with you your are was not this that must should can cannot please enter confirm forgot forgotten reset invalid wrong required incorrect missing empty new old current password passwords passphrase passphrases secret token key least characters between match matches mismatch change strong weak login sign type repeat again hide show has have been will does from into what which when where here there is of in on at to or an as by be it if no".split())
+
+
+def _is_passphrase(value: str) -> bool:
+    """Four or more lower-case words of which none belongs to sentences."""
+    words = value.strip().split(" ")
+    return 4 <= len(words) <= 12 and all(re.fullmatch(r"[a-z]{3,12}\d{0,4}", w) and w not in _SENTENCE for w in words) and len(set(words)) >= 4
+
+
+def _is_secret_value(value: str, password: bool) -> bool:
+    return _is_literal_secret(value, password) or (password and " " in value and not _STAND_IN.search(value) and _is_passphrase(value))
+
+
 def _is_spoken_secret(value: str) -> bool:
     """In running text only values of several character classes count, among them digits, capitals or odd characters."""
     return _is_literal_secret(value, True) and not re.fullmatch(r"[A-Z]?[a-z]+(?:[-/_.][a-z]+)*|[A-Z_]+|[\w-]*\w\.(?:js|py|go|rs|ts|java|md|yaml|json|toml|sql)", value) and sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", "[0-9]", r"[^\w]")) >= 2
@@ -87,6 +105,30 @@ def is_sensitive(key: str) -> bool:
     return words[-1] in _SECRET_NAMES or joined in _SECRET_NAMES or (words[-1] == "key" and len(words) > 1 and words[-2] in _SECRET_KEYS) or "".join(words) in _SECRET_NAMES
 
 
+# Keys beside a secret that do not hold it, and names of collections of secrets.
+_BESIDE = frozenset("user username users login account email mail host hostname port region role arn provider mode method realm audience issuer subject name title description comment note namespace service cluster zone project engine driver database db schema mount created updated date server address bucket team owner key keys selector ref from digest sha sha1 sha256 checksum hash fingerprint salt color colour".split())
+_COLLECTIONS = frozenset("secrets passwords credentials creds passphrases apikeys".split())
+
+
+def path_is_sensitive(path: tuple[str, ...]) -> bool:
+    """Whether a value under this key path is to be tested: by its last key, or by an enclosing one where the last is neutral.
+
+    Keys that refer to a secret kept elsewhere (``secretKeyRef``, ``valueFrom``) end the search.
+    """
+    if is_sensitive(path[-1]):
+        return True
+    words = name_words(path[-1])
+    if words and (words[-1] in _ABOUT or words[-1] in _BESIDE or "public" in words):
+        return False
+    for key in reversed(path[:-1]):
+        words = name_words(key)
+        if words and (words[-1] in ("ref", "from", "selector", "public") or words[-1] in _ABOUT):
+            return False
+        if is_sensitive(key) or (words and words[-1] in _COLLECTIONS):
+            return True
+    return False
+
+
 def _is_password(key: str) -> bool:
     words = name_words(key.rsplit(".", 1)[-1])
     return bool(words) and (words[-1].startswith("pass") or words[-1] in ("pwd", "pw") or words[-1].endswith(("password", "passwd")))
@@ -110,19 +152,21 @@ def _fragments() -> ahocorasick.Automaton:
 
 # a quoted literal after a name: key = "v", "key": "v", f("key", "v"), key := "v", KEY: &str = "v", key ??= "v"
 _QUOTED = re.compile(
-    r"""(?P<key>[A-Za-z_][\w\-]*(?:\.[A-Za-z_][\w\-]*)*)["'`]?\]?\s*(?:(?::\s*&?(?:'\w+\s+)?[A-Za-z_][\w<>?]*(?:\s*\|\s*\w+)*\s*)?=(?![=~])|\?\?=|\|\|=|:=|=>|:|,)\s*\(?\s*(?:[bru]|String::from\(|new\s+\w+\()?(?P<q>["'`])(?P<val>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)"""
+    r"""(?<![\w\-])[\d\-]*+(?P<key>[A-Za-z_][\w\-]*+(?:\.[A-Za-z_][\w\-]*+)*+)["'`]?\]?\s*(?:(?::\s*&?(?:'\w+\s+)?[A-Za-z_][\w<>?]*(?:\s*\|\s*\w+)*\s*)?=(?![=~])|\?\?=|\|\|=|:=|=>|:|,)\s*\(?\s*(?:[bru]|String::from\(|new\s+\w+\()?(?P<q>["'`])(?P<val>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)"""
 )
-_BARE = re.compile(r"""^(?P<lead>\s*(?:[-*]\s+|//+\s*|#+\s*|;+\s*|--\s+)*(?:export\s+|set\s+|setx\s+|ENV\s+|ARG\s+)?)(?P<key>[A-Za-z_][\w.\-]*)\s*(?P<op>[=:])[ \t]*(?P<val>[^\s"'`{\[(|>&*].*?)?[ \t]*$""")
+_BARE = re.compile(r"""^(?P<lead>\s*(?:[-*]\s+|//+\s*|#+\s*|;+\s*|--\s+)*(?:export\s+|set\s+|setx\s+|ENV\s+|ARG\s+)?)(?P<key>[A-Za-z_][\w.\-]*)\s*(?P<op>[=:])[ \t]*(?P<val>[^\s"'`{\[(|>&*].*)?$""")
 _NAME_ITEM = re.compile(r"""^\s*(?:-\s+)?(?:name|key)\s*:\s*["']?(?P<key>[\w.\-]+)["']?\s*(?:#.*)?$""")
-_VALUE_ITEM = re.compile(r"""^\s*(?:value|val)\s*:\s*(?P<q>["']?)(?P<val>.*?)(?P=q)\s*(?:\s#.*)?$""")
-_HEADING = re.compile(r"^\s*\[{1,2}(?P<key>[\w.\-\" ]+)\]{1,2}\s*$")
+_VALUE_ITEM = re.compile(r"""\s*(?:value|val)\s*:\s*(?:"(?P<d>[^"\n]*)"|'(?P<s>[^'\n]*)'|(?P<plain>[^\s"'].*))""")
+_ELEMENT = re.compile(r"<(?P<key>[A-Za-z_][\w.\-:]*+)(?:\s[^<>]*+)?>[ \t]*(?P<val>[^<>\s][^<>\n]*)</(?P=key)>")
+_ATTRIBUTES = re.compile(r"""(?<!\w)(?:name|key)\s*=\s*(?P<p>["'])(?P<key>[\w.\-]+)(?P=p)\s+value\s*=\s*(?P<q>["'])(?P<val>[^"'\n]+)(?P=q)""")
 _OPTION = re.compile(r"""(?<![\w-])--?(?P<key>[A-Za-z][\w-]*)(?:=|\s+)(?P<q>["']?)(?P<val>[^\s"']+)(?P=q)""")
 _HEADER = re.compile(r"""(?i)\b(?P<key>authorization|proxy-authorization)["']?\s*[:=,]\s*["']?(?P<scheme>basic|bearer|token|apikey|digest)\s+(?P<val>[A-Za-z0-9._~+/=$<{(%\-][^\s"'`,;)\\]*)""")
-_OTHER_HEADER = re.compile(r"""(?i)\b(?P<key>x-[a-z0-9-]*(?:token|key|secret|auth|password|signature|session)[a-z0-9-]*|private-token|api-key|apikey)["']?\s*[:,]\s*["']?(?P<val>[^\s"'`,;)]+)""")
+_OTHER_HEADER = re.compile(r"""(?i)(?<![a-z0-9-])(?P<key>x-[a-z0-9-]*+|private-token|api-key|apikey)["']?\s*[:,]\s*["']?(?P<val>[^\s"'`,;)]+)""")
 _COOKIE = re.compile(r"""(?i)\b(?P<key>(?:set-)?cookie)["']?\s*[:=,]\s*["']?(?P<val>[^"'`\n(]+)""")
-_COOKIE_PAIR = re.compile(r"(?P<key>[\w.-]+)=(?P<val>[^;\s\"']+)")
+_HEADER_NAME = re.compile(r"(?i)token|key|secret|auth|password|signature|session")
+_COOKIE_PAIR = re.compile(r"(?<![\w.-])(?P<key>[\w.-]++)=(?P<val>[^;\s\"']+)")
 _SESSION_COOKIE = re.compile(r"(?i)sid$|sess|session|auth|token|jwt|remember|connect\.sid|csrf|xsrf")
-_ADDRESS = re.compile(r"""(?P<scheme>[A-Za-z][A-Za-z0-9+.\-]*)://(?P<user>[^\s:/@"'`<>]*|<[^>\s]*>|\$\{[^}]*\}):(?P<val>[^\s/"'`@]+|<[^>\s]*>|\$\{[^}]*\})@(?=[A-Za-z0-9_\[$<{])""")
+_ADDRESS = re.compile(r"""(?<![A-Za-z0-9+.\-])[0-9+.\-]*+(?P<scheme>[A-Za-z][A-Za-z0-9+.\-]*+)://(?P<user>[^\s:/@"'`<>]*|<[^>\s]*>|\$\{[^}]*\}):(?P<val>[^\s/"'`@]+|<[^>\s]*>|\$\{[^}]*\})@(?=[A-Za-z0-9_\[$<{])""")
 _CONNECTION = re.compile(r"""(?i)(?:^|[;"'`\s])(?P<key>password|pwd|accountkey|sharedaccesskey|secret)\s*=\s*(?P<val>[^;"'`\s]+)(?=\s*[;"'`]|\s*$)""")
 _PHRASE = re.compile(r"""(?i)\b(?P<key>pass(?:word|phrase|wd|code)?|pwd|secret|api[ _-]?key|access[ _-]?key|(?:auth |access )?token|credentials?|pin)\b\s*(?:is|was|:|=|->)\s*(?P<q>["'`]?)(?P<val>[^\s"'`]+)(?P=q)""")
 _SPOKEN = re.compile(r"""(?i)(?:\b(?P<key>signs? in|logs? in|login|logon|authenticates?)\s+(?:with|using|is|as|via)\s+(?:[\w.-]+\s*(?:/|:|,)\s*)?|\b(?P<key2>pw|pwd|pass|password|passphrase|secret|token)\s+)(?P<q>["'`]?)(?P<val>[^\s"'`,;()]{6,})(?P=q)""")
@@ -139,7 +183,7 @@ _ISSUED = re.compile(
     r"|(?P<sk>(?:sk|rk|pk)_(?:live|prod)_[A-Za-z0-9]{10,}|sk-(?:ant-|proj-)?[A-Za-z0-9_-]{20,})|(?P<google>AIza[\w-]{30,})|(?P<jwt>eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{10,})"
     r"|(?P<npm>npm_[A-Za-z0-9]{30,})|(?P<sendgrid>SG\.[\w-]{16,}\.[\w-]{16,})|(?P<hf>hf_[A-Za-z0-9]{30,})|(?P<own>[a-z]{2,12}_(?:live|prod|pat|sec|secret|key|tok|token|api)_[A-Za-z0-9]{16,}))"
 )
-_CONFIG_FILES = frozenset("yaml yml ini env toml sh cfg conf properties tf json md bash".split())
+_CONFIG_FILES = frozenset("yaml yml ini env toml sh cfg conf properties tf tfvars json md bash".split())
 
 
 def _basic_is_secret(value: str) -> bool:
@@ -150,29 +194,64 @@ def _basic_is_secret(value: str) -> bool:
     return bool(colon) and bool(password) and not _is_stand_in(password if len(password) >= 6 else password + "#" * 6) and password.lower() not in _PLAIN
 
 
-def _context(lines: list[str], at: int) -> list[str]:
-    """Section heading and enclosing keys of a line of a configuration file."""
-    indent = len(lines[at]) - len(lines[at].lstrip())
-    path: list[str] = []
-    for line in reversed(lines[:at]):
-        head = _HEADING.match(line)
-        if head:
-            return [head["key"].strip(), *path]
-        depth = len(line) - len(line.lstrip())
-        parent = re.match(r"""\s*(?:-\s+)?["']?(?P<key>[A-Za-z_][\w.\-]*)["']?\s*[:=]\s*[{\[]?\s*$""", line)
-        if parent and depth < indent:
-            path.insert(0, parent["key"])
-            indent = depth
-    return path
+_KEY_HEADER = re.compile(r"\s*(?:Proc-Type|DEK-Info|Comment|Version|Hash|Subject|Key-[\w-]+):.*")
+_KEY_WORD = re.compile(r"[A-Za-z0-9+/]+={0,2}")
+_DECORATION = str.maketrans({c: " " for c in "\"'`,#*;|&\\)}]-><"})
 
 
-def _next_line(lines: list[str], at: int, comments: bool) -> int:
-    """The next line that is not blank (nor a comment), or -1."""
-    for k in range(at + 1, min(at + 4, len(lines))):
-        line = lines[k].strip()
-        if line and (comments or not line.startswith("#")):
-            return k
-    return -1
+def _key_words(line: str) -> list[str] | None:
+    """The pieces of key text on a line, without quotes, joining and comment marks; None where something else stands on it."""
+    words = re.sub(r"\\+[nrt]|\.?(?:append|concat)\(", " ", line).translate(_DECORATION).split()
+    return words if all(_KEY_WORD.fullmatch(w) for w in words) else None
+
+
+def _key_block(text: str, at: int, closing: str) -> tuple[int, str, bool]:
+    """End, key text and whether it is closed of the private key whose first line ends at ``at``.
+
+    Only lines that hold key text and nothing else belong to it, so code after a marker that stands by itself stays.
+    """
+    parts: list[str] = []
+    end = at
+    while at < len(text):
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        line = text[at:stop]
+        close = line.find(closing)
+        own = line if close < 0 else line[:close]
+        words = _key_words(own)
+        if words is None and not parts and _KEY_HEADER.fullmatch(re.sub(r"^\W+", "", own) or " "):
+            words = []
+        if words is None and close >= 0 and "\\n" in own:
+            # one line with escaped line ends: headers stand among the key text
+            pieces = [_key_words(piece) for piece in re.split(r"\\+n", own) if not _KEY_HEADER.match(piece)]
+            words = None if None in pieces else [w for piece in pieces for w in piece]
+        if words is None:
+            break
+        joined = "".join(words)
+        if close >= 0:
+            return at + close + len(closing), "".join([*parts, joined]), True
+        if joined:
+            last = len(joined) < 20 and not (joined.endswith("=") or (re.search(r"\d", joined) and re.search(r"[a-z]", joined) and re.search(r"[A-Z]", joined)))
+            if last and parts and not text[stop:].lstrip(" \t\r\n/#*;\"'+-").startswith(closing.strip("-")):
+                break
+            parts.append(joined)
+            end = at + len(own.rstrip())
+        at = stop + 1
+    return end, "".join(parts), False
+
+
+def _following(lines: list[str]) -> tuple[list[int], list[int]]:
+    """For each line the number of the next one that is not blank, and of the next that is no comment either; -1 at the end."""
+    filled, plain = [-1] * len(lines), [-1] * len(lines)
+    f = p = -1
+    for no in range(len(lines) - 1, -1, -1):
+        filled[no], plain[no] = f, p
+        line = lines[no].strip()
+        if line:
+            f = no
+            if not line.startswith("#"):
+                p = no
+    return filled, plain
 
 
 def find_credentials(text: str | None, extension: str = "") -> list[Credential]:
@@ -197,19 +276,17 @@ def find_credentials(text: str | None, extension: str = "") -> list[Credential]:
     # private key blocks, over lines or with escaped line ends
     blocks: list[tuple[int, int]] = []
     for m in _PEM_BEGIN.finditer(text) if "PRIVATE KEY" in text else ():
-        closing = f"-----END {m['what']}-----"
-        end = text.find(closing, m.end())
-        stop = end if end >= 0 else len(text)
-        body = re.sub(r"\\[nr]|[\s\"'+,#/*;\\]|Proc-Type.*|DEK-Info.*", "", text[m.end() : stop])
+        if blocks and m.start() < blocks[-1][1]:
+            continue
+        end, body, closed = _key_block(text, m.end(), f"-----END {m['what']}-----")
         line = text[text.rfind("\n", 0, m.start()) + 1 : m.start()]
-        if end < 0 and len(body) < 24 and "\n" not in text[m.end() :].strip() and re.fullmatch(r"[\s/#*;\-]*", line):
+        if not closed and len(body) < 24 and "\n" not in text[m.end() :].strip() and re.fullmatch(r"[\s/#*;\-]*", line):
             # a chunk that ends inside a block, just after its first line
-            found.append(Credential(m.start(), len(text.rstrip()), "", "private_key"))
-            blocks.append((m.start(), len(text)))
+            end = len(text.rstrip())
+        elif len(body) < 24 or len(set(body)) <= 8 or (len(body) < 64 and _STAND_IN.search(body)):
             continue
-        if len(body) >= 24 and not (len(body) < 64 and _STAND_IN.search(text[m.end() : stop])) and len(set(body)) > 8:
-            found.append(Credential(m.start(), end + len(closing) if end >= 0 else len(text), "", "private_key"))
-            blocks.append((m.start(), found[-1].end))
+        found.append(Credential(m.start(), end, "", "private_key"))
+        blocks.append((m.start(), end))
 
     def add(start: int, end: int, path: str, kind: str) -> None:
         if end > start:
@@ -224,12 +301,24 @@ def find_credentials(text: str | None, extension: str = "") -> list[Credential]:
     starts = [0]
     for line in lines:
         starts.append(starts[-1] + len(line) + 1)
+    parents: list[tuple[str, ...]] = []
+    if places and config:
+        entries, parents = keypaths.parse(text, lines, starts, extension)
+        for e in entries:
+            if path_is_sensitive(e.path):
+                password = any(map(_is_password, e.path[-2:]))
+                own = is_sensitive(e.path[-1])
+                # under a neutral key only values with digits and letters count
+                plain = own or (len(e.value) >= 8 and re.search("[0-9]", e.value) and re.search("[A-Za-z]", e.value))
+                if (_is_secret_value(e.value, password) and plain) or (not own and password and _is_passphrase(e.value)):
+                    add(e.start, e.end, ".".join(e.path), "assignment")
+    following = _following(lines)
     for no in sorted({bisect.bisect_right(starts, p) - 1 for p in places}):
         base, body = starts[no], lines[no].rstrip("\r")
         low = low_text[base : base + len(body)]
 
         def where(key: str, at: int = no) -> str:
-            return ".".join([*_context(lines, at), key]) if config else key
+            return ".".join([*parents[at], key]) if parents else key
 
         if "://" in low:
             for m in _ADDRESS.finditer(body):
@@ -250,30 +339,40 @@ def find_credentials(text: str | None, extension: str = "") -> list[Credential]:
                 pieces.append((more.start(g), more.end(g)))
                 value += more[g]
                 at = more.end()
-            if _is_literal_secret(value, _is_password(m["key"])):
+            if _is_secret_value(value, _is_password(m["key"])):
                 for s, e in pieces:
                     add(s, e, where(m["key"]), "assignment" if s == start else "continued")
         bare = _BARE.match(body)
         waiting = ""  # a sensitive key whose value stands on the next line
         if bare and is_sensitive(bare["key"]):
-            key, value = bare["key"], re.sub(r"\s+[#;].*$", "", bare["val"] or "")
+            key, value = bare["key"], re.sub(r"(?<!\s)\s++[#;].*$", "", (bare["val"] or "").rstrip())
             is_comment = bare["lead"].strip()[:1] in ("/", "#", ";") or bare["lead"].strip()[:2] == "--"
             if (config or is_comment) and value and _is_literal_secret(value, _is_password(key)):
                 add(base + bare.start("val"), base + bare.start("val") + len(value), where(key), "assignment")
             if not value or value in ("\\", "("):
                 waiting = key
         else:
-            last = re.search(r"""([A-Za-z_][\w\-]*)["'`]?\]?\s*(?::\s*&?\w+\s*)?(?::|=|:=|\?\?=|,)\s*(?:[|>][-+]?|\\|\(|)\s*$""", body)
+            last = re.search(r"""(?<![\w\-])[\d\-]*+([A-Za-z_][\w\-]*+)["'`]?\]?\s*(?::\s*&?\w+\s*)?(?::|=|:=|\?\?=|,)\s*(?:[|>][-+]?|\\|\(|)\s*$""", body)
             if last and is_sensitive(last[1]):
                 waiting = last[1]
-        if waiting and (k := _next_line(lines, no, True)) >= 0:
+        if waiting and (k := following[0][no]) >= 0:
             value = re.match(r"""\s*(?P<q>["'`]?)(?P<val>[^"'`\s:=]+)(?P=q)[;,)\s]*$""", lines[k].rstrip("\r"))
             if value and (config or value["q"]) and _is_literal_secret(value["val"], _is_password(waiting)):
                 add(starts[k] + value.start("val"), starts[k] + value.end("val"), where(waiting), "assignment")
-        if config and (name := _NAME_ITEM.match(body)) and is_sensitive(name["key"]) and (k := _next_line(lines, no, False)) >= 0:
-            value = _VALUE_ITEM.match(lines[k].rstrip("\r"))
-            if value and _is_literal_secret(value["val"], _is_password(name["key"])):
-                add(starts[k] + value.start("val"), starts[k] + value.end("val"), where(name["key"]), "assignment")
+        if config and (name := _NAME_ITEM.match(body)) and is_sensitive(name["key"]) and (k := following[1][no]) >= 0:
+            value = _VALUE_ITEM.match(lines[k])
+            span = keypaths.picked(value, starts[k]) if value else None
+            if span and _is_literal_secret(span[2], _is_password(name["key"])):
+                add(span[0], span[1], where(name["key"]), "assignment")
+        if "<" in body:
+            for m in _ELEMENT.finditer(body):
+                value = m["val"].rstrip()
+                if is_sensitive(m["key"]) and _is_secret_value(value, _is_password(m["key"])):
+                    add(base + m.start("val"), base + m.start("val") + len(value), where(m["key"]), "assignment")
+        if "value" in low:
+            for m in _ATTRIBUTES.finditer(body):
+                if is_sensitive(m["key"]) and _is_secret_value(m["val"], _is_password(m["key"])):
+                    add(base + m.start("val"), base + m.end("val"), where(m["key"]), "assignment")
         if "-" in body:
             for m in _OPTION.finditer(body):
                 if is_sensitive(m["key"].replace("-", "_")) and _is_literal_secret(m["val"], _is_password(m["key"])):
@@ -293,7 +392,7 @@ def find_credentials(text: str | None, extension: str = "") -> list[Credential]:
                     add(base + m.start("val"), base + m.end("val"), m["key"], "header")
         if "x-" in low or "private-token" in low or "api-key" in low:
             for m in _OTHER_HEADER.finditer(body):
-                if len(m["val"]) >= 12 and _is_literal_secret(m["val"], False):
+                if _HEADER_NAME.search(m["key"]) and len(m["val"]) >= 12 and _is_literal_secret(m["val"], False):
                     add(base + m.start("val"), base + m.end("val"), m["key"], "header")
         if "cookie" in low:
             for m in _COOKIE.finditer(body):
@@ -320,8 +419,10 @@ def find_credentials(text: str | None, extension: str = "") -> list[Credential]:
 
     found.sort(key=lambda c: (c.start, -c.end))
     kept: list[Credential] = []
+    opened = [a for a, _ in blocks]
     for c in found:
-        if any(a <= c.start < b for a, b in blocks) and c.kind != "private_key":
+        at = bisect.bisect_right(opened, c.start) - 1
+        if c.kind != "private_key" and at >= 0 and c.start < blocks[at][1]:
             continue
         if kept and c.start < kept[-1].end:
             continue
@@ -362,10 +463,14 @@ def locate(chunks: DataFrame) -> DataFrame:
         for batch in batches:
             rows: list[tuple] = []
             for i, path, content in zip(*(c.to_pylist() for c in batch.columns)):
+                at, line, byte = 0, 1, 0  # found spans are in order: each part of the text is encoded once
                 for c in find_credentials(content, _extension(path)):
-                    head = content[: c.start]
-                    begin = len(head.encode("utf-8", "surrogatepass"))
-                    rows.append((i, head.count("\n") + 1, c.key_path, c.kind, begin, begin + len(content[c.start : c.end].encode("utf-8", "surrogatepass"))))
+                    line += content.count("\n", at, c.start)
+                    byte += len(content[at : c.start].encode("utf-8", "surrogatepass"))
+                    own = len(content[c.start : c.end].encode("utf-8", "surrogatepass"))
+                    rows.append((i, line, c.key_path, c.kind, byte, byte + own))
+                    line += content.count("\n", c.start, c.end)
+                    at, byte = c.end, byte + own
             columns = list(zip(*rows)) if rows else [()] * 6
             kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "line_no", "key_path", "kind", "start_byte", "end_byte"])

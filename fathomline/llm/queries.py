@@ -52,6 +52,12 @@ def p6_redacted(spark, sf):
     return credentials.redacted(table(spark, sf, "chunks"))
 
 
+@registry.query("p6_located")
+def p6_located(spark, sf):
+    """Every credential with its key path, kind and byte span."""
+    return credentials.locate(table(spark, sf, "chunks"))
+
+
 @registry.query("p8_ids")
 def p8_ids(spark, sf):
     return tokens.encode_corpus(table(spark, sf, "documents"), "doc_id", "text")
