@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from fathomline.llm import credentials, mixing, pieces, provenance, residue, tokens, vectors
 from fathomline.plans.registry import Registry
 from fathomline.session import materialise
@@ -95,5 +93,5 @@ def p10_found(spark, sf):
 
 @registry.query("p10_clean")
 def p10_clean(spark, sf):
-    kept = residue.flag_residue(table(spark, sf, "documents"), "doc_id", "text")
-    return kept.groupBy("is_residue").agg(F.count(F.lit(1)).alias("documents"))
+    """The documents that are content."""
+    return residue.without_residue(table(spark, sf, "documents"), "text")
