@@ -7,14 +7,19 @@ declaration or file decide where the layout of copied or generated code looks li
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Directories and names that package managers, build tools and code generators use.
-_VENDOR_DIRS = r"(?i)(?:^|/)(?:node_modules|bower_components|jspm_packages|vendor|third[_-]?party|externals?|Godeps|_vendor|site-packages|Pods|Carthage|deps|\.yarn)/(?!$)"
+_VENDOR_DIRS = r"(?i)(?:^|/)(?:node_modules|bower_components|jspm_packages|vendor|third[_-]?party|Godeps|_vendor|site-packages|Pods|Carthage|\.yarn)/(?!$)"
+# directories that also hold a project's own code: below them a library has a folder of its own
+_VENDOR_FOLDERS = r"(?i)(?:^|/)(?:externals?|deps)/[^/]+/[^/]+/(?!$)"
 _UPSTREAM_COPY = r"(?i)(?:^|/)contrib/(?:[^/]+/)*upstream/"
-_GENERATED_DIRS = r"(?i)(?:^|/)(?:generated|autogen|auto_generated|gen|__generated__|codegen_out|generated-sources)/"
-_GENERATED_NAMES = r"(?i)(?:\.pb\.(?:go|cc|h|c)|_pb2(?:_grpc)?\.pyi?|_pb\.(?:js|d\.ts)|_grpc_pb\.js|\.g\.(?:dart|cs)|\.gen\.\w+|\.generated\.\w+|_generated\.\w+|_gen\.\w+|/zz_generated[^/]*|\.designer\.cs|Grpc\.java|OuterClass\.java|\.freezed\.dart|_string\.go|\.snap)$"
+_GENERATED_DIRS = r"(?i)(?:^|/)(?:generated|autogen|auto_generated|__generated__|codegen_out|generated-sources)/"
+_GENERATED_NAMES = r"(?i)(?:\.pb\.(?:go|cc|h|c)|_pb2(?:_grpc)?\.pyi?|_pb\.(?:js|d\.ts)|_grpc_pb\.js|\.g\.(?:dart|cs)|\.gen\.\w+|\.generated\.\w+|_generated\.\w+|_gen\.\w+|/zz_generated[^/]*|\.designer\.cs|Grpc\.java|OuterClass\.java|\.freezed\.dart|_string\.go|\.snap|/gen/(?:[^/]+/)*[^/]+\.d\.ts)$"
 _LOCK_NAMES = r"(?i)(?:^|/)(?:[^/]*\.lock(?:\.\w+)?|[^/]*-lock\.(?:json|yaml)|go\.sum|npm-shrinkwrap\.json|Pipfile\.lock|Cargo\.lock|poetry\.lock|composer\.lock|Gemfile\.lock)$"
 _MINIFIED_NAMES = r"(?i)[.-]min\.(?:js|css|mjs)$|\.bundle\.js$|\.js\.map$|\.css\.map$"
 
@@ -33,24 +38,43 @@ _VENDORED_BANNER = (
     + r"|upstream: *https?://|@licen[sc]e\b[^\n]{1,80}\bcopyright\b|[\w.-]+\.js v\d[\w.]* *\| *\(c\)|@preserve\b)"
 )
 _PROSE = ("md", "rst", "txt", "adoc")
-_STYLE = ("css", "scss", "less")
 
-#: per language: least mean line length of a chunk with long lines, most white space, least and most alphanumerics, least punctuation
-_MINIFIED = {"style": (180, 0.05, 0.55, 0.80, 0.12), "other": (180, 0.08, 0.50, 0.76, 0.15)}
 _LONG_LINE = 300
-#: lines of data that a table needs before its file counts as data, and their share of the chunk's lines
-_DATA_LINES = {"config": 40, "other": 14}
-_DATA_SHARE = 0.7
-#: per language: share of a chunk's characters in encoded runs or in numeric literals from which it is data, and their least number,
-#: which is about what the least lines of data hold
-_DENSE = {"style": (0.6, 1000), "config": (0.7, 1500), "other": (0.6, 1000)}
-_CONFIG = ("json", "yaml", "yml", "toml", "ini", "env", "tf", "sql", "md")
+
+
+class Limits(NamedTuple):
+    """Thresholds of a language; a chunk is judged by those of its file's extension."""
+
+    mean_line: float  # minified: least mean line length of a chunk with a long line
+    whitespace: float  # minified: most white space
+    least_letters: float  # minified: least and most letters and digits
+    most_letters: float
+    punctuation: float  # minified: least marks of syntax
+    data_lines: int  # data: least lines of data, and their share of all lines
+    data_share: float
+    dense: float  # data: least share of characters in encoded runs or in numeric literals, and their least number
+    dense_chars: int
+
+
+_OTHER = "other"
+#: Minified code of languages whose blocks are indented keeps more white space; style sheets have less marks and more letters; markup has
+#: long lines by nature; configuration holds tables and digests of its own, so more is needed before it is data.
+LIMITS: dict[str, tuple[str, Limits]] = {
+    "script": ("js mjs cjs jsx ts tsx", Limits(180, 0.08, 0.50, 0.76, 0.15, 14, 0.7, 0.6, 1000)),
+    "style": ("css scss less", Limits(180, 0.05, 0.55, 0.80, 0.12, 14, 0.7, 0.6, 1000)),
+    "python": ("py pyi", Limits(180, 0.10, 0.50, 0.78, 0.14, 14, 0.7, 0.6, 1000)),
+    "shell": ("sh bash zsh", Limits(180, 0.12, 0.50, 0.78, 0.15, 14, 0.7, 0.6, 1000)),
+    "markup": ("html htm xml svg vue svelte", Limits(240, 0.08, 0.50, 0.76, 0.15, 20, 0.7, 0.6, 1500)),
+    "config": ("json yaml yml toml ini env tf sql md", Limits(1e9, 0.0, 0.0, 1.0, 1.0, 40, 0.7, 0.7, 1500)),
+    _OTHER: ("", Limits(180, 0.08, 0.50, 0.76, 0.15, 14, 0.7, 0.6, 1000)),
+}
 
 _NUMBERS_LINE = r"^\s*[\[({]?\s*(?:[-+]?(?:0[xXbBoO][0-9a-fA-F_]+|\d[\d_]*\.?\d*(?:[eE][-+]?\d+)?)[fFuUlL]*\s*[,;]?\s*){4,}[\])}]*[,;]?\s*$"
 # the same for lines of any length: a possessive repetition costs no stack
 _LONG_NUMBERS_LINE = _NUMBERS_LINE.replace("{4,}", "{4,}+")
 _ITEM = r"(?:\"[^\"]*\"|'[^']*'|[-+]?\d[\d_.]*|null|None|true|false)"
 _RECORD_LINE = rf"^\s*[\[({{]\s*(?:(?:{_ITEM}\s*,\s*){{3,}}+(?:{_ITEM}\s*,?\s*)?|(?:{_ITEM}\s*,\s*){{2}}{_ITEM}\s*,?\s*)[\])}}][,;]?\s*$"
+_INSERT_LINE = r"(?i)^\s*insert\s+into\s+\S++[^;]*?\bvalues\s*\(.*\)\s*[;,]?\s*$"
 _ENCODED_LINE = r"^\s*[\"']?[A-Za-z0-9+/=_-]{40,}[\"']?\s*[+,;\\)]?\s*$"
 # long base64 (with digits and capitals) and hexadecimal runs, and runs of escapes; possessive, so that length costs no stack
 _ENCODED_RUN = r"(?<![A-Za-z0-9+/=_-])(?:(?=[A-Za-z0-9+/=_-]{40})(?=[A-Za-z+/=_-]*+[0-9])(?=[a-z0-9+/=_-]*+[A-Z])[A-Za-z0-9+/=_-]++|(?:0[xX])?[0-9a-fA-F]{40,}+)|(?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\[0-7]{3}){12,}+"
@@ -58,6 +82,12 @@ _ENCODED_RUN = r"(?<![A-Za-z0-9+/=_-])(?:(?=[A-Za-z0-9+/=_-]{40})(?=[A-Za-z+/=_-
 _NUMBER = r"(?<![\w.])[-+]?(?:0[xXbBoO][0-9a-fA-F_]++|\d[\d_]*+(?:\.[\d_]*+)?(?:[eE][-+]?\d++)?|\.\d++)(?:[iuf](?:8|16|32|64|128|size)|[fFuUlLdDnN]{0,3}+)(?!\w)[\s,;()\[\]{}]*+"
 
 
+def _limit(ext: Column) -> Callable[[str], Column]:
+    """The thresholds of an extension, by name."""
+    group = F.coalesce(*[F.when(ext.isin(*names.split()), g) for g, (names, _) in LIMITS.items() if names], F.lit(_OTHER))
+    return lambda name: F.element_at(F.create_map(*[F.lit(x) for g, (_, row) in LIMITS.items() for x in (g, float(getattr(row, name)))]), group)
+
+
 def _extension(path: str) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
 
@@ -75,7 +105,7 @@ def layout(chunks: DataFrame) -> DataFrame:
     without = lambda what: F.length("_t") - F.length(F.regexp_replace("_t", what, ""))
     lines = F.split("_t", r"\r?\n")
     sized = chunks.select("path", "kind", text.alias("_t"), size.alias("_n")).withColumn("_lines", F.filter(lines, lambda x: F.length(F.trim(x)) > 0))
-    is_data = lambda x: F.when(F.length(x) <= _LONG_LINE, x.rlike(_NUMBERS_LINE)).otherwise(x.rlike(_LONG_NUMBERS_LINE)) | x.rlike(_RECORD_LINE)
+    is_data = lambda x: F.when(F.length(x) <= _LONG_LINE, x.rlike(_NUMBERS_LINE)).otherwise(x.rlike(_LONG_NUMBERS_LINE)) | x.rlike(_RECORD_LINE) | x.rlike(_INSERT_LINE)
     is_run = lambda x: x.rlike(_ENCODED_LINE) & x.rlike("[0-9]") & x.rlike("[A-Z]")
     # only long lines can be minified, and only lines beginning like literals can be data: most chunks skip the costly part
     longest = F.coalesce(F.array_max(F.transform("_lines", F.length)), F.lit(0))
@@ -105,15 +135,19 @@ def classify_files(chunks: DataFrame) -> DataFrame:
     ext = _extension("path")
     summary = F.coalesce(F.col("kind"), F.lit("")).endswith("_summary")
     code = ~summary & ~ext.isin(*_PROSE)
-    style = ext.isin(*_STYLE)
-    config = ext.isin(*_CONFIG)
-    pick = lambda i: F.when(style, _MINIFIED["style"][i]).otherwise(_MINIFIED["other"][i])
+    limit = _limit(ext)
     stats = layout(chunks.where("path is not null"))
-    minified = code & ~config & (F.col("longest_line") >= _LONG_LINE) & (F.col("mean_line") >= pick(0)) & (F.col("whitespace") <= pick(1)) & F.col("alphanumeric").between(pick(2), pick(3)) & (F.col("punctuation") >= pick(4))
-    enough = F.when(config, _DATA_LINES["config"]).otherwise(_DATA_LINES["other"])
-    dense = lambda i: F.when(style, _DENSE["style"][i]).when(config, _DENSE["config"][i]).otherwise(_DENSE["other"][i])
-    solid = lambda chars: (F.col(chars) >= dense(1)) & (F.col(chars) >= dense(0) * F.col("_n"))
-    data = code & (((F.col("data_lines") >= enough) & (F.col("data_lines") >= _DATA_SHARE * F.col("lines"))) | solid("encoded") | solid("numeric"))
+    minified = (
+        code
+        & (F.col("longest_line") >= _LONG_LINE)
+        & (F.col("mean_line") >= limit("mean_line"))
+        & (F.col("whitespace") <= limit("whitespace"))
+        & F.col("alphanumeric").between(limit("least_letters"), limit("most_letters"))
+        & (F.col("punctuation") >= limit("punctuation"))
+    )
+    solid = lambda chars: (F.col(chars) >= limit("dense_chars")) & (F.col(chars) >= limit("dense") * F.col("_n"))
+    tabular = (F.col("data_lines") >= limit("data_lines")) & (F.col("data_lines") >= limit("data_share") * F.col("lines"))
+    data = code & (tabular | solid("encoded") | solid("numeric"))
     flags = stats.select(
         "path",
         (code & F.col("_t").rlike(_GENERATED_BANNER)).alias("g"),
@@ -126,7 +160,7 @@ def classify_files(chunks: DataFrame) -> DataFrame:
     return files.select(
         "path",
         (F.col("g") | at(_GENERATED_DIRS) | at(_GENERATED_NAMES) | at(_LOCK_NAMES)).alias("generated"),
-        (F.col("v") | at(_VENDOR_DIRS) | at(_UPSTREAM_COPY)).alias("vendored"),
+        (F.col("v") | at(_VENDOR_DIRS) | at(_VENDOR_FOLDERS) | at(_UPSTREAM_COPY)).alias("vendored"),
         (F.col("m") | at(_MINIFIED_NAMES)).alias("minified"),
         F.col("d").alias("data"),
     )

@@ -217,6 +217,16 @@ def test_files_that_are_not_handwritten(spark):
     assert provenance.not_handwritten(df.limit(0)).count() == 0
 
 
+def test_weak_directories_and_thresholds_of_languages(spark):
+    minified = _minified(60)
+    other = {
+        "external/zlib/src/a.c": "x", "web/deps/left-pad/lib/index.js": "x", "src/gen/api.d.ts": "x", "db/seed.sql": "".join(f"INSERT INTO t (a, b) VALUES ({i}, 'x{i}');\n" for i in range(200)), "a/n.py": "N = [" + ", ".join(str(i * 37) for i in range(900)) + "]", "a/min.ts": minified,
+    }
+    own = {"app/deps/solver.py": "def f():\n    return 1\n", "app/gen/shape.go": "package gen\n", "app/external/client.ts": "export const a = 1\n", "db/one.sql": "INSERT INTO t (a) VALUES (1);\n", "notes.json": minified}
+    df = spark.createDataFrame([(p, "window", t) for p, t in {**other, **own}.items()], "path string, kind string, content string")
+    assert {r.path for r in provenance.not_handwritten(df).collect()} == set(other)
+
+
 def test_data_on_one_line(spark):
     rnd = random.Random(3)
     base64 = "".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=100_000))
