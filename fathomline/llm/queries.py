@@ -67,22 +67,22 @@ def _counted(spark, sf, *columns):
 
 @registry.query("p9_found")
 def p9_found(spark, sf):
-    histogram = materialise(mixing.token_histogram(_counted(spark, sf)), "histogram")
-    plan = mixing.balance(histogram, table(spark, sf, "mix_targets"))
+    """The sources whose dual has no solution, by its gradient where every document is used as often as allowed."""
+    plan = mixing.bounds(mixing.token_histogram(_counted(spark, sf)), table(spark, sf, "mix_targets"))
     return spark.createDataFrame([(r["source"],) for r in plan if r["falls_short"]], "source string")
 
 
 @registry.query("p9_report")
 def p9_report(spark, sf):
     counted = materialise(_counted(spark, sf, "doc_id"), "tokens")
-    plan = mixing.balance(materialise(mixing.token_histogram(counted), "histogram"), table(spark, sf, "mix_targets"))
+    plan = mixing.balance(materialise(mixing.token_histogram(counted), "histogram"), table(spark, sf, "mix_targets"), spread=True)
     return mixing.mixture_report(counted, "doc_id", plan)
 
 
 @registry.query("p9_copies")
 def p9_copies(spark, sf):
     counted = materialise(_counted(spark, sf, "doc_id"), "tokens")
-    plan = mixing.balance(materialise(mixing.token_histogram(counted), "histogram"), table(spark, sf, "mix_targets"))
+    plan = mixing.balance(materialise(mixing.token_histogram(counted), "histogram"), table(spark, sf, "mix_targets"), spread=True)
     return mixing.copies(counted, "doc_id", plan).where("copies > 0")
 
 

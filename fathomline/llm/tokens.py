@@ -11,13 +11,15 @@ from __future__ import annotations
 import heapq
 import itertools
 import json
+import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -121,6 +123,18 @@ def replayer(vocabulary: str) -> MergeReplay:
     return MergeReplay(vocabulary)
 
 
+def _ship(spark: SparkSession, vocabulary: str) -> None:
+    """Hand the vocabulary file to the workers, which need not have it; done once per session."""
+    if os.path.exists(vocabulary):
+        spark.sparkContext.addFile(os.path.realpath(vocabulary))
+
+
+def _shipped(vocabulary: str) -> str:
+    """Where a worker finds the vocabulary: the file that was sent, else the path itself."""
+    sent = SparkFiles.get(os.path.basename(os.path.realpath(vocabulary)))
+    return sent if os.path.exists(sent) else vocabulary
+
+
 def _texts(column: pa.Array) -> Iterator[list[str | None]]:
     """The texts of a batch in portions of bounded size, so that a few very long ones do not pile up."""
     portion: list[str | None] = []
@@ -144,7 +158,7 @@ def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULA
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = replayer(vocabulary)
+        coder = replayer(_shipped(vocabulary))
         for batch in batches:
             done = 0
             for texts in _texts(batch.column(1)):
@@ -156,6 +170,7 @@ def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULA
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(texts)), ids], names=[key, "ids"])
                 done += len(texts)
 
+    _ship(df.sparkSession, vocabulary)
     kind = dict(df.dtypes)[key]
     return df.select(key, text).mapInArrow(run, f"{key} {kind}, ids array<int>")
 
@@ -164,12 +179,13 @@ def count_tokens(df: DataFrame, columns: list[str], text: str, vocabulary: str =
     """``columns`` and ``tokens`` (bigint) of every row, counted by the same encoding; 0 for null and empty texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = replayer(vocabulary)
+        coder = replayer(_shipped(vocabulary))
         for batch in batches:
             counts: list[int] = []
             for texts in _texts(batch.column(len(columns))):
                 counts.extend(sum(map(len, words)) for words in coder.encode(texts))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(counts, pa.int64())], names=[*columns, "tokens"])
 
+    _ship(df.sparkSession, vocabulary)
     kinds = dict(df.dtypes)
     return df.select(*columns, F.col(text)).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", tokens bigint")

@@ -147,6 +147,31 @@ def test_short_sources_are_used_to_the_cap(spark):
     assert not exact["s"]["falls_short"] and exact["t"]["falls_short"]
 
 
+def test_missing_tokens_are_spread_by_weight(spark):
+    rng = np.random.default_rng(4)
+    docs = [(i, "abcd"[i % 4], int(t)) for i, t in enumerate(rng.integers(1, 300, 2000))]
+    targets = [("a", 0.2, 5), ("b", 0.4, 5), ("c", 0.3, 1), ("none", 0.1, 3)]
+    hist = mixing.token_histogram(spark.createDataFrame(docs, DOC))
+    plan = {r["source"]: r for r in mixing.balance(hist, spark.createDataFrame(targets, TARGET), spread=True)}
+    total = sum(t for _, _, t in docs)
+    assert {s for s, r in plan.items() if r["falls_short"]} == {"c", "none"} and all(r["converged"] and r["steps"] < 60 for r in plan.values())
+    assert abs(sum(r["planned_tokens"] for r in plan.values()) - total) < 1e-6 * total
+    assert abs(plan["b"]["planned_tokens"] / plan["a"]["planned_tokens"] - 2) < 1e-9 and plan["c"]["planned_tokens"] == plan["c"]["own_tokens"]
+    # a source that cannot give its larger share is filled as well
+    chain = [("a", 0.26, 1), ("b", 0.3, 1), ("c", 0.24, 4), ("none", 0.2, 1)]
+    plan = {r["source"]: r for r in mixing.balance(hist, spark.createDataFrame(chain, TARGET), spread=True)}
+    assert plan["a"]["planned_tokens"] == plan["a"]["own_tokens"] and plan["c"]["planned_tokens"] > 0.24 * total
+
+
+def test_bounds_agree_with_the_definition(spark):
+    rng = np.random.default_rng(8)
+    docs = [(i, f"s{i % 7}", int(t)) for i, t in enumerate(rng.integers(0, 300, 900))]
+    targets = [(f"S{i}", float(w), int(c)) for i, (w, c) in enumerate(zip(rng.dirichlet(np.ones(8)), rng.integers(0, 4, 8)))]
+    found = {r["source"] for r in mixing.bounds(mixing.token_histogram(spark.createDataFrame(docs, DOC)), spark.createDataFrame(targets, TARGET)) if r["falls_short"]}
+    own = {s: sum(t for _, x, t in docs if x == s) for s in {x for _, x, _ in docs}}
+    assert found == {s.lower() for s, w, c in targets if c * own.get(s.lower(), 0) < w * sum(own.values())}
+
+
 def test_empty_mixtures(spark):
     assert _plan(spark, [], []) == {}
     plan = _plan(spark, [(1, None, 0), (2, "a", 0)], [("a", 0.5, 2), (None, 0.5, 1), ("b", None, None)])
