@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from fathomline.session import materialise
 
 _PARENTS_PER_RANGE = 100_000
-_REFERENCES_PER_TASK = 250_000
+_REFERENCES_PER_TASK = 100_000
+_MOST_SPLITS = 1_000_000  # rows of the table of split ranges, which is broadcast: 12 bytes each
 
 
 def living_parents(records: DataFrame, key: str, stamp: str, pruned: DataFrame, table_name: str) -> DataFrame:
@@ -71,23 +72,24 @@ def missing_references(refs: DataFrame, parents: DataFrame, keys: DataFrame | No
     spark = refs.sparkSession
     refs = refs.where("ref_key is not null and ref_key <> ''").withColumn("h", F.xxhash64("ref_key"))
     parents = parents.select("parent_key", F.xxhash64("parent_key").alias("h"))
-    n = parents.count()
-    ranges = max(2 * spark.sparkContext.defaultParallelism, -(-n // _PARENTS_PER_RANGE))
-    ranges = 1 << (ranges - 1).bit_length()
     counted = refs if keys is None else keys.where("ref_key is not null and ref_key <> ''").withColumn("h", F.xxhash64("ref_key"))
-    by_range = counted.select(F.expr(_range_of("h", ranges)).alias("rng"))
-    # one row per range comes back, a number set by the size of the parent table and not by the references
-    load = {r.rng: r.n for r in by_range.groupBy("rng").agg(F.count(F.lit(1)).alias("n")).collect()}
-    hot = {r: -(-c // _REFERENCES_PER_TASK) for r, c in load.items() if c > _REFERENCES_PER_TASK}
-    salts = F.create_map(*[F.lit(x) for kv in hot.items() for x in kv]) if hot else None
-    copies = (lambda c: F.coalesce(salts[c], F.lit(1))) if hot else (lambda c: F.lit(1))
+    # both numbers are counted in one pass each; ranges follow from the larger of the two loads
+    n, m = parents.count(), counted.count()
+    ranges = max(2 * spark.sparkContext.defaultParallelism, -(-n // _PARENTS_PER_RANGE), -(-m // (_REFERENCES_PER_TASK // 2)))
+    ranges = min(1 << (ranges - 1).bit_length(), 1 << 24)
+    per_task = max(_REFERENCES_PER_TASK, m // _MOST_SPLITS)
+    load = counted.groupBy(F.expr(_range_of("h", ranges)).alias("rng")).agg(F.count(F.lit(1)).alias("n"))
+    # at most m / per_task ranges hold more than that, so the table of split ranges has a bound whatever the input
+    split = F.broadcast(materialise(load.where(F.col("n") > per_task).select("rng", F.ceil(F.col("n") / per_task).alias("copies")), "split-ranges"))
     # the salt follows from the row itself, so a task that is run again after a loss sends each row where it went before
     row = F.xxhash64(*[F.col(c) for c in refs.columns if c != "h"])
-    left = refs.withColumn("rng", F.expr(_range_of("h", ranges))).withColumn("salt", F.pmod(row, copies(F.col("rng")).cast("long")).cast("int"))
+    left = refs.withColumn("rng", F.expr(_range_of("h", ranges))).join(split, "rng", "left")
+    left = left.withColumn("salt", F.pmod(row, F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
     arrays = (
         parents.groupBy(F.expr(_range_of("h", ranges)).alias("rng"))
         .agg(F.array_sort(F.collect_list(F.struct("h", F.col("parent_key").alias("k")))).alias("entries"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), copies(F.col("rng")) - 1)))
+        .join(split, "rng", "left")
+        .select("rng", "entries", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)).cast("int") - 1)).alias("salt"))
     )
     out_schema = ", ".join(f"{n} {t}" for n, t in refs.dtypes if n != "h")
     return left.groupBy("rng", "salt").cogroup(arrays.groupBy("rng", "salt")).applyInArrow(_probe, out_schema)
