@@ -243,3 +243,24 @@ def _call_edges(records: DataFrame, symbols: DataFrame, module: str, edge) -> Da
     hit = tried.join(table, ["t_package", "t_name"]).groupBy("no", "path", "package", "qualified", "start_line").agg(F.min(F.struct("pref", "id")).alias("b"))
     caller = symbols.where("kind in ('function', 'method')").select("package", "qualified", c("id").alias("caller")).dropDuplicates(["package", "qualified"])
     return edge(hit.join(caller, ["package", "qualified"]), "calls", c("caller"), c("b.id"), c("start_line"))
+
+
+_YAML_REFERENCE = r"^\s*-?\s*(?:import|vars\.load|use)\s*:\s*(.+?)\s*$"
+
+
+def yaml_references(files: DataFrame) -> DataFrame:
+    """``path, target, line`` of the references between YAML files (path, content) that exist.
+
+    A reference is a line with one of three keys; comments and quotes are stripped, templated values, absolute paths and
+    those that lead out of the project are none.  Targets are relative to the folder of the file.  Each (path, target,
+    line) once; null contents have none.
+    """
+    from fathomline.functions import paths
+
+    yaml = files.where(F.lower("path").rlike(r"\.ya?ml$"))
+    lines = yaml.select("path", F.posexplode(F.split("content", "\n", -1)).alias("n", "line")).where(F.col("line").rlike(_YAML_REFERENCE))
+    raw = F.trim(F.regexp_replace(F.regexp_extract("line", _YAML_REFERENCE, 1), r" #.*$", ""))
+    value = F.regexp_replace(raw, r"^(?:\"(.*)\"|'(.*)')$", "$1$2")
+    found = lines.select("path", value.alias("value"), (F.col("n") + 1).cast("int").alias("line")).where("value <> '' and not startswith(value, '/') and not contains(value, '{{')")
+    resolved = found.select("path", paths.joined(paths.dirname(F.col("path")), F.col("value")).alias("target"), "line").where("not startswith(target, '..')").distinct()
+    return resolved.join(yaml.select(F.col("path").alias("target")).distinct(), "target", "left_semi").select("path", "target", "line")

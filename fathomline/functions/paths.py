@@ -141,3 +141,19 @@ def ancestors(path: Column) -> Column:
     parts = F.split(path, "/")
     depths = F.sequence(F.size(parts) - 1, F.lit(0), F.lit(-1))
     return F.transform(depths, lambda n: F.when(n == 0, F.lit(".")).otherwise(F.array_join(F.slice(parts, 1, n), "/")))
+
+
+def clean(path: Column) -> Column:
+    """A relative path without '.', empty and resolvable '..' parts; '.' for nothing left, and '..' stays where it leads out."""
+    last = lambda a: F.element_at(a, -1)
+    folded = F.aggregate(
+        F.split(path, "/"),
+        F.array().cast("array<string>"),
+        lambda a, x: F.when(x.isin("", "."), a).when((x == "..") & (F.size(a) > 0) & F.coalesce(last(a) != "..", F.lit(True)), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x))),
+    )
+    return F.when(F.size(folded) == 0, ".").otherwise(F.array_join(folded, "/"))
+
+
+def joined(folder: Column, target: Column) -> Column:
+    """``target`` seen from ``folder``, cleaned."""
+    return clean(F.concat(folder, F.lit("/"), target))

@@ -72,7 +72,17 @@ def line_windows(text: Column) -> Column:
     return F.filter(made, lambda w: F.length(F.regexp_replace(w["content"], r"[ \t\n\r\f\x0B]", "")) > 0)
 
 
-def line_range(text: Column, first: int, last: int, most_lines: int, most_bytes: int) -> Column:
+def without_comments(path: Column, text: Column) -> Column:
+    """The text without blank lines, white space at line ends, and lines of comments, each line ended.
+
+    Lines that begin with // are comments everywhere, those with # only outside prose.  Null text gives an empty one.
+    """
+    prose = F.lower(path).rlike(r"\.(?:md|markdown|rst|txt)$")
+    kept = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.regexp_replace(x, r"[ \t\r]+$", "")), lambda x: ~x.rlike(r"^[ \t]*(?://|$)") & (F.coalesce(prose, F.lit(False)) | ~x.rlike(r"^[ \t]*#")))
+    return F.array_join(F.transform(kept, lambda x: F.concat(x, F.lit("\n"))), "")
+
+
+def line_range(text: Column, first: int, last: int, most_lines: int, most_bytes: int | Column) -> Column:
     """Lines ``first``..``last`` as (content, truncated), cut after whole lines by number and by bytes."""
     wanted = F.slice(lines(text), first, last - first + 1)
     some = F.slice(wanted, 1, most_lines)

@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.session import materialise, release
+from fathomline.session import materialise
 
 DAMPING = 0.85
 ITERATIONS = 20
 CALLABLE = ("function", "method")
-_NODE_CAP, _EDGE_CAP = 30, 50
+_EDGE_CAP = 50
 
 
 def known_calls(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -56,30 +56,69 @@ def cross_package_callers(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     return by_pkg.join(pkg("dst"), "dst_id").where("not (src_pkg <=> dst_pkg)").groupBy(F.col("dst_id").alias("id")).agg(F.count("src_pkg").alias("cross_pkg_callers"))
 
 
-def pagerank(nodes: DataFrame, flow: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
+def pagerank(nodes: DataFrame, flow: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING, together: int = 5) -> DataFrame:
     """``id, pagerank`` over all nodes; the mass of nodes without calls is spread evenly, so ranks sum to 1.
 
-    Shares out of a node and its rank are joined on the node, contributions are summed map-side before they are shuffled by
-    target, so a hot target receives one row per task.  Each iteration is one job whose result is a table in the scratch
-    folder.  Without edges the result is empty, as a uniform rank says nothing.
+    What is spread evenly stays a multiple of the uniform vector, so the walk is linear: with ``v[k]`` the uniform vector
+    after k steps along the edges, the rank is ``v[T] + sum of b[T-1-k] * v[k]``, and the numbers ``b`` follow from the
+    sums of the ``v[k]`` alone.  A step is one join on the source and one aggregate by target, in which only nodes that are
+    called take part; the exchange of the shares is the same in all steps and is reused.  ``together`` steps are one job
+    and one table in the scratch folder.  A hot target receives one row per task, a hot source is left to the handling of
+    skewed joins.  Without edges the result is empty, as a uniform rank says nothing.
     """
     ids = materialise(nodes.select("id").distinct(), "nodes")
     n = ids.count()
-    shares = flow.withColumn("share", F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy("src_id"))).select("src_id", "dst_id", "share")
-    shares = materialise(shares, "shares")
+    out = flow.groupBy("src_id").agg(F.count(F.lit(1)).alias("_out"))
+    shares = materialise(flow.join(out, "src_id").select("src_id", "dst_id", (F.lit(damping) / F.col("_out")).alias("share")), "shares")
     if n == 0 or shares.isEmpty():
         return ids.select("id", F.lit(0.0).alias("pagerank")).limit(0)
-    sources = shares.select(F.col("src_id").alias("id")).distinct().withColumn("flows", F.lit(True))
-    ranks = materialise(ids.join(sources, "id", "left").select("id", F.coalesce("flows", F.lit(False)).alias("flows"), F.lit(1.0 / n).alias("rank")), "ranks")
-    for _ in range(iterations):
-        given = ranks.select(F.col("id").alias("src_id"), "rank").join(shares, "src_id").select(F.col("dst_id").alias("id"), (F.col("rank") * F.col("share")).alias("given"), F.lit(False).alias("flows"))
-        own = ranks.select("id", F.lit(0.0).alias("given"), "flows")
-        idle = ranks.agg(F.sum(F.when(F.col("flows"), 0.0).otherwise(F.col("rank"))).alias("idle"))
-        sums = given.unionByName(own).groupBy("id").agg(F.sum("given").alias("given"), F.max("flows").alias("flows"))
-        new = F.lit((1 - damping) / n) + F.lit(damping / n) * F.col("idle") + F.lit(damping) * F.col("given")
-        before, ranks = ranks, materialise(sums.crossJoin(F.broadcast(idle)).select("id", "flows", new.alias("rank")), "ranks")
-        release(before)
-    return ranks.select("id", F.col("rank").alias("pagerank"))
+    v = ids.select("id", F.lit(1.0 / n).alias("v"))
+    tables: list[DataFrame] = []
+    for first in range(1, iterations + 1, together):
+        steps = []
+        for k in range(first, min(first + together, iterations + 1)):
+            v = v.join(shares, F.col("id") == F.col("src_id")).groupBy(F.col("dst_id").alias("id")).agg(F.sum(F.col("v") * F.col("share")).alias("v"))
+            steps.append(v.withColumn("k", F.lit(k)))
+        tables.append(materialise(_union(steps), "steps"))
+        v = tables[-1].where(F.col("k") == k).select("id", "v")
+    walked = _union(tables)
+    mass = {0: 1.0} | {r.k: r.mass for r in walked.groupBy("k").agg(F.sum("v").alias("mass")).collect()}  # one row per step
+    # what nodes without calls hold after k steps is what the next step does not carry on
+    idle = [mass.get(k, 0.0) - mass.get(k + 1, 0.0) / damping for k in range(iterations)]
+    given: list[float] = []
+    for t in range(iterations):
+        given.append((1 - damping) + damping * (idle[t] + sum(given[t - 1 - k] * idle[k] for k in range(t))))
+    weight = F.element_at(F.array(*[F.lit(given[iterations - 1 - k]) for k in range(1, iterations)], F.lit(1.0)), F.col("k"))
+    sums = walked.groupBy("id").agg(F.sum(F.col("v") * weight).alias("_sum"))
+    return ids.join(sums, "id", "left").select("id", (F.lit(given[-1] / n) + F.coalesce("_sum", F.lit(0.0))).alias("pagerank"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def packages_of_paths(hits: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct ``package_path`` of the nodes in the files of ``hits(path)``; empty packages and null paths are left out."""
+    files = hits.select(F.col("path").alias("file_path")).where("file_path is not null").distinct()
+    return nodes.where("package_path <> ''").select("file_path", "package_path").join(files, "file_path", "left_semi").select("package_path").distinct()
+
+
+def chunk_ranks(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``id, pagerank`` of chunks: the highest rank of the nodes that cover their first line, else of any node of the file, else 0.
+
+    ``nodes(file_path, start_line, end_line, pagerank)``.  Nodes of a file are joined on (path, block of lines) as in
+    ``tightest_chunk``; the fallback is one row per file.
+    """
+    block = 128
+    spans = nodes.where("file_path <> '' and end_line >= start_line").select(F.col("file_path").alias("path"), "start_line", "end_line", "pagerank", F.explode(F.expr(f"sequence(start_line div {block}, end_line div {block})")).alias("_b"))
+    spots = chunks.select("id", "path", F.col("start_line").alias("_line"), F.expr(f"start_line div {block}").alias("_b"))
+    covering = spots.join(spans, ["path", "_b"]).where("start_line <= _line and _line <= end_line").groupBy("id").agg(F.max("pagerank").alias("_covering"))
+    files = nodes.where("file_path <> ''").groupBy(F.col("file_path").alias("path")).agg(F.max("pagerank").alias("_any"))
+    best = F.when(F.col("_covering") > 0, F.col("_covering")).otherwise(F.coalesce("_any", F.lit(0.0)))
+    return chunks.select("id", "path").join(covering, "id", "left").join(files, "path", "left").select("id", best.alias("pagerank"))
 
 
 def centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:

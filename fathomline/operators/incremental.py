@@ -1,7 +1,7 @@
 """Only what is new or changed since the last successful run.
 
-The reread point is the start of the oldest run that was still open when the last successful run began, so nothing that
-such a run may have written late is skipped.  Rows stamped before that point are not trusted to be old, because records
+The reread point is the start of the oldest run that was open when the last successful run began, so nothing that such a
+run may have written late is skipped.  Rows stamped before that point are not trusted to be old, because records
 arrive late: they take the same anti-join against the ledger of processed (key, version) pairs, which also removes what
 the reread repeats.  A run that fails has added nothing to the ledger of successful runs, so its records come again.
 """
@@ -22,10 +22,11 @@ def successful_runs(runs: DataFrame) -> DataFrame:
 def reread_from(runs: DataFrame) -> DataFrame:
     """One row: ``last_ok_run, reread_from``.
 
-    ``reread_from`` is the earliest start among the last successful run and the runs that were open when it started: begun
-    before it, and neither finished by then nor successful.  Without a successful run both are null: everything is read.
+    The last successful run is the one that started last (of equal starts the larger id).  ``reread_from`` is the earliest
+    start among it and the runs that were open when it started: begun by then and not finished before, whatever became of
+    them.  Without a successful run both are null: everything is read.
     """
-    last = runs.where("status = 'ok'").agg(F.max(F.struct("run_id", "started_at")).alias("last")).select("last.run_id", "last.started_at")
+    last = runs.where("status = 'ok'").agg(F.max(F.struct("started_at", "run_id")).alias("last")).select("last.run_id", "last.started_at")
     last = last.select(F.col("run_id").alias("last_ok_run"), F.col("started_at").alias("_start"))
     open_ = runs.select("started_at", "finished_at", "status")
     joined = last.join(open_, (F.col("started_at") <= F.col("_start")) & (F.col("finished_at").isNull() | (F.col("finished_at") >= F.col("_start"))), "left")

@@ -89,3 +89,40 @@ def jobs_to_enqueue(chunks: DataFrame, queue: DataFrame) -> DataFrame:
 def stale_jobs(queue: DataFrame, chunks: DataFrame) -> DataFrame:
     """Queue rows whose source no longer exists with that hash."""
     return queue.join(chunks.select("path", F.col("content_sha1").alias("source_sha1")), ["path", "source_sha1"], "left_anti")
+
+
+def drop_other_summaries(chunks: DataFrame, path: str, kind: str, keep_sha: str) -> DataFrame:
+    """Without the rows of (path, kind) that have another hash than the one to keep; a null hash is another one."""
+    other = (F.col("path") == path) & (F.col("kind") == kind) & ~F.col("content_sha1").eqNullSafe(F.lit(keep_sha))
+    return chunks.where(~F.coalesce(other, F.lit(False)))
+
+
+def drop_paths(chunks: DataFrame, paths_: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """Without the rows of some paths and of those below a prefix, taken literally; an empty prefix removes nothing.  Null paths stay."""
+    gone = F.lit(False)
+    if paths_:
+        gone = gone | F.col("path").isin(*paths_)
+    if prefix:
+        gone = gone | F.col("path").startswith(prefix)
+    return chunks.where(~F.coalesce(gone, F.lit(False)))
+
+
+def take_jobs(queue: DataFrame, most: int) -> DataFrame:
+    """The ``most`` jobs that wait longest; ties go to the smaller id."""
+    return queue.orderBy("queued_at", "id").limit(most)
+
+
+def bump_attempts(queue: DataFrame, failed: DataFrame) -> DataFrame:
+    """``queue`` with one more attempt and the last error of the jobs in ``failed(id, error)``; they stay queued.
+
+    Of several errors of a job the largest text counts, and it is one attempt.
+    """
+    errors = failed.where("id is not null").groupBy("id").agg(F.max(F.coalesce("error", F.lit(""))).alias("_error"))
+    joined = queue.join(errors, "id", "left")
+    hit = F.col("_error").isNotNull()
+    return joined.withColumns({"attempts": F.when(hit, F.coalesce("attempts", F.lit(0)) + 1).otherwise(F.col("attempts")), "last_error": F.when(hit, F.col("_error")).otherwise(F.col("last_error"))}).select(*queue.columns)
+
+
+def remove_jobs(queue: DataFrame, done: DataFrame) -> DataFrame:
+    """``queue`` without the ids in ``done``; unknown ids are no error."""
+    return queue.join(done.select("id").distinct(), "id", "left_anti").select(*queue.columns)

@@ -43,6 +43,23 @@ def contents_groups(weights: DataFrame) -> DataFrame:
     return rows.select("family", "dir", F.row_number().over(order).cast("bigint").alias("place"), best["weight"].alias("family_weight"), best["dir"].alias("family_first"))
 
 
+def averages(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``keys, rows, mean, median`` of each group; null values count as rows only.  Medians merge counts of distinct values."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.avg(value).alias("mean"), F.median(value).alias("median"))
+
+
 def looks_truncated(text: Column) -> Column:
-    """Whether a summary does not end as a sentence, list or code does."""
-    return ~F.coalesce(text, F.lit("")).rlike(r"[.!?:;)\]}`\"'*|>-][ \t\r\n]*$")
+    """Whether a summary was cut off: a bullet begun and left, an odd number of backticks or of bold marks.  Empty texts are whole."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    odd = lambda mark: ((F.length(bare) - F.length(F.replace(bare, F.lit(mark), F.lit("")))) / len(mark)).cast("int") % 2 == 1
+    return bare.endswith("- **") | bare.endswith("- *") | odd("`") | odd("**")
+
+
+def summarised_packages(summaries: DataFrame, weights: DataFrame) -> DataFrame:
+    """``id, dir, weight`` of package summaries by the summed rank of their directory, 0 where the graph has none.
+
+    ``summaries(id, path)`` name their directory, the root as '' or '.'; ``weights(dir, weight)``.  Directories of test
+    data are left out.
+    """
+    rows = summaries.select("id", F.when(F.coalesce("path", F.lit("")) == "", ".").otherwise(F.col("path")).alias("dir"))
+    return rows.where(~F.col("dir").rlike(r"(?:^|/)testdata(?:/|$)")).join(weights, "dir", "left").select("id", "dir", F.coalesce("weight", F.lit(0.0)).alias("weight"))

@@ -5,10 +5,13 @@ Patterns use explicit ASCII classes at word borders, so they mean the same in ev
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import paths
+from fathomline.functions import text as text_functions
 
 _EDGE = "(?:^|[^A-Za-z0-9_])"
 _END = "(?:$|[^A-Za-z0-9_])"
@@ -88,10 +91,40 @@ def penalise_summaries(summaries: DataFrame, nodes: DataFrame, score: str) -> Da
     return summaries.join(known, "path", "left").withColumn("adjusted", F.round(F.when(stem.isin(*ARCHITECTURE_DOCS) | F.coalesce("_known", F.lit(False)), F.col(score)).otherwise(F.col(score) - SUMMARY_PENALTY), 6)).drop("_known")
 
 
-def within_budget(hits: DataFrame, order: list[Column], most_bytes: int) -> DataFrame:
-    """Hits in order up to the first whose content would exceed the budget: with ``used`` bytes so far.  For top-k lists."""
-    total = F.sum(F.octet_length(F.coalesce("content", F.lit("")))).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return hits.withColumn("used", total.cast("bigint")).where(F.col("used") <= most_bytes)
+class InlineLimits(NamedTuple):
+    most_lines: int
+    most_bytes: int
+    budget: int
+
+
+def inline_limits(intent: str) -> InlineLimits:
+    """How much of the source a bundle carries: more for questions about structure."""
+    return InlineLimits(120, 8 * 1024, 40 * 1024) if intent in ("architecture", "package_topology") else InlineLimits(60, 4 * 1024, 20 * 1024)
+
+
+def inline_content(items: DataFrame, budget: int, most_lines: int, most_bytes: int) -> DataFrame:
+    """``place, lane, id, content, truncated, left_over`` of items in order until the budget of bytes is used up.
+
+    ``items(lane, place, id, content, is_whole)`` are the lanes of one bundle, a few dozen rows: reads first, then bodies
+    of symbols, then hits.  An item is cut after whole lines by number and by bytes, and by what is left of the budget; whole
+    items (summaries) are taken as they are and may exceed it.  Null contents count as empty.
+    """
+    # the budget of an item depends on how much its forerunners used, so the list is folded in one row
+    ordered = F.array_sort(F.collect_list(F.struct("lane", "place", "id", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("is_whole", F.lit(False)).alias("is_whole"))))
+    kind = "struct<left:bigint,out:array<struct<lane:int,id:bigint,content:string,truncated:boolean,left_over:bigint>>>"
+    start = F.struct(F.lit(budget).cast("bigint").alias("left"), F.expr("cast(array() as array<struct<lane:int,id:bigint,content:string,truncated:boolean,left_over:bigint>>)").alias("out")).cast(kind)
+
+    def take(state: Column, item: Column) -> Column:
+        all_lines = F.size(text_functions.lines(item["content"]))
+        cut = text_functions.line_range(item["content"], 1, 1 << 30, most_lines, F.least(F.lit(most_bytes).cast("bigint"), state["left"]))
+        content = F.when(item["is_whole"], item["content"]).otherwise(cut["content"])
+        truncated = ~item["is_whole"] & cut["truncated"] & (all_lines > 0)
+        left = state["left"] - F.octet_length(content)
+        entry = F.struct(item["lane"].cast("int").alias("lane"), item["id"].alias("id"), content.alias("content"), truncated.alias("truncated"), left.alias("left_over"))
+        return F.when(state["left"] > 0, F.struct(left.alias("left"), F.concat(state["out"], F.array(entry)).alias("out")).cast(kind)).otherwise(state)
+
+    folded = items.agg(F.aggregate(ordered, start, take).alias("s"))
+    return folded.select(F.posexplode("s.out").alias("place", "e")).select((F.col("place") + 1).cast("bigint").alias("place"), "e.lane", "e.id", "e.content", "e.truncated", "e.left_over")
 
 
 def without_low_signal(hits: DataFrame, score: str) -> DataFrame:
@@ -100,6 +133,30 @@ def without_low_signal(hits: DataFrame, score: str) -> DataFrame:
     return hits.withColumn("_best", best).where((F.col("_best") >= LOW_TOP) | (F.col(score) >= LOW_HIT)).drop("_best")
 
 
+# Documents that describe a directory, in order of priority.
+DESCRIBING = "CLAUDE.md doc.go README.md".split()
+
+
+def describing_documents(files: DataFrame) -> DataFrame:
+    """``path, priority`` of the files that describe their directory."""
+    at = F.array_position(F.array(*map(F.lit, DESCRIBING)), paths.basename(F.col("path")))
+    return files.select("path", (at - 1).cast("int").alias("priority")).where("priority >= 0")
+
+
+def word_references(chunks: DataFrame, names: list[str]) -> DataFrame:
+    """``symbol, path, line_no`` of whole-word uses of some names, each line once; null contents have none."""
+    rows = chunks.select("path", "start_line", F.posexplode(text_functions.lines(F.col("content"))).alias("n", "line"), F.array(*map(F.lit, names)).alias("names"))
+    hit = F.filter("names", lambda s: F.col("line").contains(s) & F.regexp_like(F.col("line"), F.concat(F.lit("(^|[^A-Za-z0-9_])"), s, F.lit("([^A-Za-z0-9_]|$)"))))
+    return rows.select(F.explode(hit).alias("symbol"), "path", (F.greatest(F.coalesce("start_line", F.lit(1)), F.lit(1)).cast("bigint") + F.col("n")).alias("line_no")).distinct()
+
+
+def capped_references(references: DataFrame, per_symbol: int = 20, most: int = 30) -> DataFrame:
+    """The first ``per_symbol`` references of each symbol by path and line, and of these the first ``most``."""
+    order = Window.partitionBy("symbol").orderBy("path", "line_no")
+    first = references.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_symbol)
+    return first.orderBy("symbol", "_n").limit(most).drop("_n")
+
+
 def nearest_document(files: DataFrame, documents: DataFrame, depth: int = 10) -> DataFrame:
     """``path, doc`` of the nearest document above each file: up to ``depth`` directories, by priority within one.
 

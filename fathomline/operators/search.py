@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.functions import paths
 from fathomline.functions.text import ParsedQuery, tokens
 from fathomline.session import materialise
 
@@ -105,6 +106,39 @@ def hybrid(chunks: DataFrame, query_vector: DataFrame, query: ParsedQuery, k: in
     return fuse(semantic, legs, k)
 
 
+def with_cosine(hits: DataFrame, chunks: DataFrame, query_vector: DataFrame) -> DataFrame:
+    """``hits`` with ``score``, their cosine to the single row ``query_vector(qvec)``: null where a hit has no usable vector.
+
+    Hits are a top-k list and are broadcast, so only their vectors are looked at.
+    """
+    own = usable_vectors(chunks.select("id", "vec").join(F.broadcast(hits.select("id")), "id", "left_semi")).crossJoin(F.broadcast(query_vector.limit(1)))
+    return hits.join(own.select("id", cosine(F.col("vec"), F.col("qvec")).alias("score")), "id", "left")
+
+
+def definitions(chunks: DataFrame, ranks: DataFrame, k: int) -> DataFrame:
+    """``id, name, path, start_line, pagerank, in_degree`` of the ``k`` best chunks of every name.
+
+    ``ranks(id, pagerank, in_degree)`` are those of the nodes behind a chunk, of which the best counts.  Order: rank,
+    callers, path, line, id; chunks without nodes have zeros.  Null and empty names have no definitions.
+    """
+    best = ranks.where("id is not null").groupBy("id").agg(F.max(F.struct("pagerank", "in_degree")).alias("_r"))
+    rows = chunks.where("name <> ''").join(best, "id", "left").select("id", "name", "path", "start_line", F.coalesce("_r.pagerank", F.lit(0.0)).alias("pagerank"), F.coalesce("_r.in_degree", F.lit(0)).alias("in_degree"))
+    order = Window.partitionBy("name").orderBy(F.desc("pagerank"), F.desc("in_degree"), F.asc_nulls_first("path"), F.asc_nulls_first("start_line"), "id")
+    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
+
+
+def demoted(hits: DataFrame, order: list[Column]) -> DataFrame:
+    """A top-k list with ``place``: files that implement nothing (documents, builds, tests) behind all others."""
+    side = (paths.tags(F.col("path")) != 0).cast("int")
+    return hits.withColumn("place", F.row_number().over(Window.orderBy(F.coalesce(side, F.lit(0)), *order)).cast("bigint"))
+
+
+def filled_up(first: DataFrame, rest: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """One list of ``k`` with ``place``: all of the first list in order, then the rest in order."""
+    both = first.withColumn("_lane", F.lit(0)).unionByName(rest.withColumn("_lane", F.lit(1)))
+    return both.withColumn("place", F.row_number().over(Window.orderBy("_lane", *order)).cast("bigint")).where(F.col("place") <= k).drop("_lane")
+
+
 def attach(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Hits with path, kind, name, lines and content; hits are few and are broadcast."""
     return chunks.select("id", "path", "kind", "name", "start_line", "end_line", "content").join(F.broadcast(hits), "id")

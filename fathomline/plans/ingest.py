@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fathomline.functions import paths, text
+from fathomline.functions import extract, paths, text
 from fathomline.operators import incremental, ingest
 from fathomline.plans.registry import Registry
 from fathomline.plans.views import CHUNKS, now
@@ -153,29 +154,71 @@ def queue_stale(spark, sf):
 
 @registry.query("queue_next", "select id, path from pending_summaries order by queued_at, id limit 10")
 def queue_next(spark, sf):
-    return table(spark, sf, "pending_summaries").orderBy("queued_at", "id").limit(10).select("id", "path")
+    return ingest.take_jobs(table(spark, sf, "pending_summaries"), 10).select("id", "path")
 
 
-_REF = r"^[ \t]*-?[ \t]*(import|vars\.load|use)[ \t]*:[ \t]*[\"'']?([^ \t#\"''{]+)"
+# the files of the tables refer to none of each other, so every YAML file gets a line that names the next one in order
+_NEXT = """y as (select path, lead(path) over (order by path) as target from (select distinct path from chunks where regexp_matches(path, '\\.ya?ml$')))"""
 
 
-@registry.query(
-    "yaml_refs",
-    rf"""with l as (select path, unnest(string_split(coalesce(content, ''), chr(10))) as line from chunks where regexp_matches(path, '\.ya?ml$')), r as (select path, regexp_extract(line, '{_REF}', 2) as target from l where regexp_matches(line, '{_REF}')),
-    t as (select distinct path, regexp_replace(path, '[^/]*$', '') || regexp_replace(target, '^\./', '') as target from r) select path, target from t where target in (select path from chunks)""",
-)
+@registry.query("yaml_refs", f"with {_NEXT} select path, target, 2 as line from y where target is not null and not contains(target, '{{{{')")
 def yaml_refs(spark, sf):
-    """Files that YAML files refer to by relative path and that exist."""
-    rows = table(spark, sf, "chunks").where(F.col("path").rlike(r"\.ya?ml$"))
-    lines = rows.select("path", F.explode(text.lines(F.coalesce("content", F.lit("")))).alias("line"))
-    pattern = _REF.replace("''", "'")
-    hit = lines.where(F.col("line").rlike(pattern)).select("path", F.regexp_extract("line", pattern, 2).alias("target"))
-    full = hit.select("path", F.concat(F.regexp_replace("path", "[^/]*$", ""), F.regexp_replace("target", r"^\./", "")).alias("target")).distinct()
-    return full.join(table(spark, sf, "chunks").select(F.col("path").alias("target")), "target", "left_semi").select("path", "target")
+    """References between YAML files through folders above them."""
+    names = table(spark, sf, "chunks").where(F.col("path").rlike(r"\.ya?ml$")).select("path").distinct()
+    # a small derived table of names: the order of all of them is needed to write the lines
+    files = names.withColumn("next", F.lead("path").over(Window.orderBy("path")))
+    up = F.repeat(F.lit("../"), F.size(F.split("path", "/")) - 1)
+    value = F.when(F.length("path") % 2 == 0, F.concat(F.lit('"'), up, "next", F.lit('"'))).otherwise(F.concat(up, F.lit("./"), "next", F.lit(" # next")))
+    content = F.concat(F.lit("# one\n  - import: "), F.coalesce(value, F.lit("{{ none }}")), F.lit("\nimport: missing.yaml\nuse: /etc/x.yaml\nimport: ../../../../../../../../x.yaml\n"))
+    return extract.yaml_references(files.select("path", content.alias("content")))
 
 
-@registry.query("compact_strip", r"""select doc_id, coalesce(array_to_string(list_filter(string_split(text, chr(10)), lambda x: not regexp_matches(x, '^[ \t\r]*(#|//|--|$)')), chr(10)), '') as body from documents where text is not null""")
+@registry.query(
+    "compact_strip",
+    rf"""with {CHUNKS}, l as (select id, path, list_transform(string_split(coalesce(content, ''), chr(10)), lambda x: rtrim(x, ' ' || chr(9) || chr(13))) as ls from ch)
+    select id, coalesce(array_to_string(list_transform(list_filter(ls, lambda x: ltrim(x, ' ' || chr(9)) <> '' and not starts_with(ltrim(x, ' ' || chr(9)), '//') and (coalesce(regexp_matches(lower(path), '\.(md|markdown|rst|txt)$'), false) or not starts_with(ltrim(x, ' ' || chr(9)), '#'))), lambda x: x || chr(10)), ''), '') as body from l""",
+)
 def compact_strip(spark, sf):
-    """Texts without blank lines and lines of comments."""
-    kept = F.filter(text.lines(F.col("text")), lambda x: ~x.rlike(r"^[ \t\r]*(#|//|--|$)"))
-    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.array_join(kept, "\n").alias("body"))
+    """Chunks without blank lines and lines of comments."""
+    return now(spark, sf, "chunks").select("id", text.without_comments(F.col("path"), F.col("content")).alias("body"))
+
+
+_INCOMING = "inc as (select id + 1000000000 as id, path, 'new' as kind, 'name' as name, start_line, content_sha1, last_seen_at + 1 as last_seen_at from ch where kind in ('window', 'orphan') union all select id + 2000000000, path || '.new', kind, name, start_line, content_sha1, last_seen_at from ch where kind = 'type_declaration')"
+_ROW = ("id", "path", "kind", "name", "start_line", "content_sha1", "last_seen_at")
+
+
+def _incoming(chunks):
+    changed = chunks.where("kind in ('window', 'orphan')").selectExpr("id + 1000000000 as id", "path", "'new' as kind", "'name' as name", "start_line", "content_sha1", "last_seen_at + 1 as last_seen_at")
+    return changed.unionByName(chunks.where("kind = 'type_declaration'").selectExpr("id + 2000000000 as id", "path || '.new' as path", "kind", "name", "start_line", "content_sha1", "last_seen_at"))
+
+
+@registry.query("upsert_rows", f"with {CHUNKS}, {_INCOMING} select {', '.join(_ROW)} from ch where not exists (select 1 from inc where inc.path is not distinct from ch.path and inc.content_sha1 is not distinct from ch.content_sha1) union all select {', '.join(_ROW)} from inc")
+def upsert_rows(spark, sf):
+    """The next version of the chunks after changed windows and some new files came in."""
+    chunks = now(spark, sf, "chunks").select(*_ROW)
+    return ingest.upsert(chunks, _incoming(chunks), ["path", "content_sha1"])
+
+
+@registry.query("touch_rows", f"with {CHUNKS}, {_INCOMING} select ch.id, coalesce(inc.name, ch.name) as name, ch.start_line, case when inc.id is null then ch.last_seen_at else {CUTOFF} end as last_seen_at from ch left join inc on inc.path = ch.path and inc.content_sha1 = ch.content_sha1")
+def touch_rows(spark, sf):
+    chunks = now(spark, sf, "chunks").select(*_ROW, "end_line")
+    seen = _incoming(chunks).withColumn("end_line", F.lit(None).cast("int"))
+    return ingest.touch(chunks, seen, ["path", "content_sha1"], F.lit(CUTOFF)).select("id", "name", "start_line", "last_seen_at")
+
+
+@registry.query("drop_rows", f"with {CHUNKS}, one as (select path, kind, content_sha1 from ch where kind = 'package_summary' order by id limit 1), pre as (select min(split_part(path, '/', 1)) || '/' as p from ch) select id from ch where not (path = (select path from one) and kind = 'package_summary' and content_sha1 <> 'keep') and not starts_with(coalesce(path, ''), (select p from pre))")
+def drop_rows(spark, sf):
+    """Without other summaries of one package and without everything below one directory."""
+    chunks = now(spark, sf, "chunks").select("id", "path", "kind", "content_sha1")
+    one = chunks.where("kind = 'package_summary'").orderBy("id").first()
+    prefix = chunks.agg(F.min(F.substring_index("path", "/", 1))).first()[0]
+    kept = ingest.drop_other_summaries(chunks, one.path, "package_summary", "keep") if one else chunks
+    return ingest.drop_paths(kept, prefix=f"{prefix}/").select("id")
+
+
+@registry.query("queue_bump", "select id, case when id % 3 = 0 then attempts + 1 else attempts end::int as attempts, case when id % 3 = 0 then 'error ' || id else last_error end as last_error from pending_summaries where id % 5 <> 0")
+def queue_bump(spark, sf):
+    """The queue after every third job failed and every fifth was done."""
+    queue = table(spark, sf, "pending_summaries")
+    failed = queue.where("id % 3 = 0").select("id", F.concat(F.lit("error "), F.col("id").cast("string")).alias("error"))
+    return ingest.remove_jobs(ingest.bump_attempts(queue, failed), queue.where("id % 5 = 0")).select("id", "attempts", "last_error")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import paths
-from fathomline.operators import rollup, router, search
+from fathomline.operators import graph, rollup, router, search
+from fathomline.plans.graph import _DIR as _FILE_DIR
+from fathomline.plans.graph import _FLOW, _RANKS
+from fathomline.plans.ingest import _ignored_sql
 from fathomline.plans.registry import Registry
 from fathomline.plans.search import _VEC, POOL, _best, _hits, _hybrid_sql, _question
 from fathomline.plans.views import CHUNKS, NODES, now
@@ -39,31 +43,48 @@ def rollup_concat(spark, sf):
     return rollup.joined_summaries(summaries, F.substring_index("path", "/", 1))
 
 
-_WEIGHT = "w as (select case when contains(file_path, '/') then regexp_replace(file_path, '/[^/]*$', '') else '.' end as dir, count(*) as weight from nd where file_path <> '' group by dir)"
+_WEIGHT = f"{_FLOW}, {_RANKS}, w as (select {_FILE_DIR} as dir, round(sum(pagerank), 8) as weight from nd join pr using (id) where file_path <> '' group by dir)"
+_PACKAGES = f"pk as (select id, {_DIR} as dir from ch where kind = 'package_summary'), pw as (select pk.id, pk.dir, coalesce(weight, 0.0) as weight from pk left join w using (dir) where '/' || dir || '/' not like '%/testdata/%')"
 
 
-def _weights(spark, sf):
-    return now(spark, sf, "graph_nodes").where("file_path <> ''").groupBy(paths.dirname(F.col("file_path")).alias("dir")).agg(F.count(F.lit(1)).alias("weight"))
+def _packages(spark, sf):
+    """Package summaries with the summed rank of the directory that they lie in."""
+    nodes, edges = now(spark, sf, "graph_nodes"), now(spark, sf, "graph_edges")
+    ranks = graph.pagerank(nodes, graph.flow_edges(edges, nodes))
+    weights = nodes.where("file_path <> ''").join(ranks, "id").groupBy(paths.dirname(F.col("file_path")).alias("dir")).agg(F.round(F.sum("pagerank"), 8).alias("weight"))
+    return rollup.summarised_packages(now(spark, sf, "chunks").where("kind = 'package_summary'").select("id", paths.dirname(F.col("path")).alias("path")), weights)
 
 
-@registry.query("repo_input", f"with {CHUNKS}, {NODES}, {_WEIGHT} select ch.id, ch.path, coalesce(weight, 0) as weight from ch left join w on w.dir = {_DIR.replace('path', 'ch.path')} where kind = 'package_summary' order by weight desc, ch.path, ch.id limit 15")
+@registry.query("repo_input", f"with {CHUNKS}, {_WEIGHT}, {_PACKAGES} select id, dir, weight from pw order by weight desc, dir, id limit 15")
 def repo_input(spark, sf):
-    """The 15 package summaries of the heaviest directories."""
-    summaries = now(spark, sf, "chunks").where("kind = 'package_summary'").select("id", "path", paths.dirname(F.col("path")).alias("dir"))
-    return summaries.join(_weights(spark, sf), "dir", "left").select("id", "path", F.coalesce("weight", F.lit(0)).alias("weight")).orderBy(F.desc("weight"), "path", "id").limit(15)
+    """The 15 package summaries of the most central directories."""
+    return _packages(spark, sf).orderBy(F.desc("weight"), "dir", "id").limit(15)
 
 
 @registry.query(
     "toc_groups",
-    f"with {NODES}, {_WEIGHT} select split_part(dir, '/', 1) as family, dir, row_number() over x as place, first_value(weight) over x as family_weight, first_value(dir) over x as family_first from w window x as (partition by split_part(dir, '/', 1) order by weight desc, dir)",
+    f"with {CHUNKS}, {_WEIGHT}, {_PACKAGES}, d as (select dir, max(weight) as weight from pw group by dir) select split_part(dir, '/', 1) as family, dir, row_number() over x as place, first_value(weight) over x as family_weight, first_value(dir) over x as family_first from d window x as (partition by split_part(dir, '/', 1) order by weight desc, dir)",
 )
 def toc_groups(spark, sf):
-    return rollup.contents_groups(_weights(spark, sf))
+    return rollup.contents_groups(_packages(spark, sf).groupBy("dir").agg(F.max("weight").alias("weight")))
 
 
-@registry.query("truncation_check", f"""with {CHUNKS} select id, not regexp_matches(coalesce(content, ''), '[.!?:;)\\]}}`"''*|>-][ \\t\\r\\n]*$') as truncated from ch where ends_with(kind, '_summary')""")
+@registry.query(
+    "truncation_check",
+    f"""with {CHUNKS}, b as (select id, trim(coalesce(content, ''), ' ' || chr(9) || chr(10) || chr(13)) as t from (select id, content from ch where ends_with(kind, '_summary') union all select -doc_id, text from documents))
+    select id, ends_with(t, '- **') or ends_with(t, '- *') or (len(string_split(t, '`')) - 1) % 2 = 1 or (len(string_split(t, '**')) - 1) % 2 = 1 as truncated from b""",
+)
 def truncation_check(spark, sf):
-    return now(spark, sf, "chunks").where("endswith(kind, '_summary')").select("id", rollup.looks_truncated(F.col("content")).alias("truncated"))
+    """Summaries, and all documents under negative ids, that look cut off."""
+    summaries = now(spark, sf, "chunks").where("endswith(kind, '_summary')").select("id", "content")
+    texts = table(spark, sf, "documents").select((-F.col("doc_id")).alias("id"), F.col("text").alias("content"))
+    return summaries.unionByName(texts).select("id", rollup.looks_truncated(F.col("content")).alias("truncated"))
+
+
+@registry.query("group_averages", "select lower(lang) as lang, count(*) as documents, round(avg(n_chars), 6) as mean, round(median(n_chars), 6) as median from documents where lang is not null group by 1")
+def group_averages(spark, sf):
+    docs = table(spark, sf, "documents").where("lang is not null").select(F.lower("lang").alias("lang"), "n_chars")
+    return rollup.averages(docs, ["lang"], "n_chars").select("lang", F.col("rows").alias("documents"), F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"))
 
 
 _RECEIVER, _QUALIFIED = router.RECEIVER, router.QUALIFIED
@@ -107,9 +128,29 @@ def summary_penalty(spark, sf):
     return router.penalise_summaries(scored, now(spark, sf, "graph_nodes"), "score").select("id", "score", "adjusted")
 
 
-@registry.query("budget_cut", _hybrid_sql(POOL) + "select id, used from (select id, sum(octet_length(encode(coalesce(content, '')))) over (order by rrf desc, id)::bigint as used from full_hit) where used <= 20480")
+_ITEMS = f"""it as (select row_number() over (order by lane, place, id) as n, lane, id, content, is_whole from (
+      select 0 as lane, row_number() over (order by rrf desc, id) as place, id, coalesce(content, '') as content, false as is_whole from (select * from full_hit order by rrf desc, id limit 5)
+      union all select 2, row_number() over (order by rrf desc, id), id, coalesce(content, ''), ends_with(kind, '_summary') from full_hit where not regexp_matches(path, '{paths.TEST_PATTERN}')))"""
+
+
+@registry.query(
+    "budget_cut",
+    _hybrid_sql(POOL).replace("with ", "with recursive ", 1)
+    + f""", {_ITEMS}, step as (select 0::bigint as n, -1 as lane, 0::bigint as id, '' as content, false as truncated, 12288::bigint as budget
+      union all select c.n, c.lane, c.id, case when c.is_whole then c.raw else array_to_string(list_slice(c.ls, 1, c.keep), chr(10)) end, not c.is_whole and c.keep < c.wanted,
+        c.budget - case when c.is_whole then octet_length(encode(c.raw)) when c.keep = 0 then 0 else list_sum(list_transform(list_slice(c.ls, 1, c.keep), lambda x: octet_length(encode(x)))) + c.keep - 1 end
+      from (select b.*, len(list_filter(range(1, len(ls) + 1), lambda k: list_sum(list_transform(list_slice(ls, 1, k), lambda x: octet_length(encode(x)))) + k - 1 <= least(4096, budget))) as keep
+        from (select it.n, it.lane, it.id, it.content as raw, it.is_whole, step.budget, list_slice(string_split(it.content, chr(10)), 1, 60) as ls, len(string_split(it.content, chr(10))) as wanted from step join it on it.n = step.n + 1 where step.budget > 0) b) c)
+    select n as place, lane, id, content, truncated, budget as left_over from step where n > 0""",
+)
 def budget_cut(spark, sf):
-    return router.within_budget(_hits(spark, sf, POOL), _best(), 20 * 1024).select("id", "used")
+    """Five reads and then the other hits, cut by lines and bytes until a budget of 12 KiB is used."""
+    hits = _hits(spark, sf, POOL)
+    reads = hits.orderBy(*_best()).limit(5).withColumn("lane", F.lit(0))
+    others = hits.where(~paths.is_test(F.col("path"))).withColumn("lane", F.lit(2))
+    place = F.row_number().over(Window.partitionBy("lane").orderBy(*_best()))
+    items = reads.unionByName(others).select("lane", place.alias("place"), "id", "content", F.when(F.col("lane") == 2, F.col("kind").endswith("_summary")).otherwise(False).alias("is_whole"))
+    return router.inline_content(items, 12 * 1024, 60, 4096)
 
 
 @registry.query("low_signal", f"with {_VEC} select id, score from (select * from sem order by score desc, id limit {POOL}) qualify max(score) over () >= 0.45 or score >= 0.40")
@@ -117,27 +158,45 @@ def low_signal(spark, sf):
     return router.without_low_signal(search.knn(now(spark, sf, "chunks"), _question(spark, sf), POOL), "score")
 
 
+# the tables have no documents of these names, so every directory whose path has an even length gets one or two
+_DOCS = f"""f as (select distinct path from chunks where path is not null), dirs0 as (select distinct {_DIR} as dir from f where length(path) % 2 = 0),
+    files as (select path from f union select case when dir = '.' then '' else dir || '/' end || 'README.md' from dirs0 union select dir || '/doc.go' from dirs0 where length(dir) % 3 = 0 and dir <> '.' union select dir || '/CLAUDE.md' from dirs0 where length(dir) % 5 = 0 and dir <> '.')"""
+
+
 @registry.query(
     "nearest_doc",
-    """with f as (select distinct path from chunks where path is not null), parts as (select path, string_split(path, '/') as p from f), up as (select path, unnest(range(0, least(len(p), 10))) as far, p from parts),
-    dirs as (select path, far, case when far = len(p) - 1 then '.' else array_to_string(list_slice(p, 1, len(p) - 1 - far), '/') end as dir from up),
-    docs as (select path as doc, case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') else '.' end as dir from f where ends_with(path, '.md'))
-    select d.path, arg_min(doc, lpad(far::varchar, 3, '0') || doc) as doc from dirs d join docs using (dir) where doc <> d.path group by d.path""",
+    f"""with {_DOCS}, up as (select path, unnest(range(1, 11)) as far, string_split(path, '/') as p from files), above as (select path, far, case when far = len(p) then '' when far < len(p) then array_to_string(list_slice(p, 1, len(p) - far), '/') || '/' end as dir from up where far <= len(p)),
+    tried as (select path, far, n as priority, dir || name as doc from above, (values (0, 'CLAUDE.md'), (1, 'doc.go'), (2, 'README.md')) v(n, name))
+    select path, arg_min(doc, far * 10 + priority) as doc from tried where doc <> path and doc in (select path from files) group by path""",
 )
 def nearest_doc(spark, sf):
-    files = table(spark, sf, "chunks").where("path is not null").select("path").distinct()
-    docs = files.where(F.col("path").endswith(".md")).select("path", F.lit(0).alias("priority"))
-    return router.nearest_document(files, docs)
+    files = _with_documents(table(spark, sf, "chunks").where("path is not null").select("path").distinct())
+    return router.nearest_document(files, router.describing_documents(files))
+
+
+def _with_documents(files):
+    dirs = files.where("length(path) % 2 = 0").select(paths.dirname(F.col("path")).alias("dir")).distinct()
+    named = lambda d, name: d.select(F.concat("dir", F.lit(f"/{name}")).alias("path"))
+    below = dirs.where("dir <> '.'")
+    readme = dirs.select(F.when(F.col("dir") == ".", "README.md").otherwise(F.concat("dir", F.lit("/README.md"))).alias("path"))
+    return files.union(readme).union(named(below.where("length(dir) % 3 = 0"), "doc.go")).union(named(below.where("length(dir) % 5 = 0"), "CLAUDE.md")).distinct()
 
 
 @registry.query(
     "test_pairs",
-    """with f as (select distinct path from chunks where path is not null), s as (select path, regexp_replace(path, '[^/]*$', '') as folder, lower(regexp_extract(path, '(\\.[^./]*)$', 1)) as ext, regexp_replace(split_part(path, '/', -1), '\\.[^.]*$', '') as stem from f),
+    """with f0 as (select distinct path from chunks where path is not null),
+    f as (select path from f0 union select regexp_replace(path, '\\\\.(go|py)$', '_test.\\\\1') from f0 where length(path) % 2 = 0 and regexp_matches(path, '\\\\.(go|py)$') union select regexp_replace(path, '\\\\.(tsx?|jsx?)$', '.spec.\\\\1') from f0 where length(path) % 3 = 0 and regexp_matches(path, '\\\\.(tsx?|jsx?)$')),
+    s as (select path, regexp_replace(path, '[^/]*$', '') as folder, lower(regexp_extract(path, '(\\.[^./]*)$', 1)) as ext, regexp_replace(split_part(path, '/', -1), '\\.[^.]*$', '') as stem from f),
     c as (select path, unnest(case when ext = '.go' and not ends_with(stem, '_test') then [folder || stem || '_test.go'] when ext = '.py' and not starts_with(stem, 'test_') and not ends_with(stem, '_test') then [folder || 'test_' || stem || '.py', folder || stem || '_test.py']
     when ext in ('.ts', '.tsx', '.js', '.jsx') and not contains(stem, '.test') and not contains(stem, '.spec') then [folder || stem || '.test' || ext, folder || stem || '.spec' || ext] else [] end) as test from s) select path, test from c where test in (select path from f)""".replace("\\\\", "\\"),
 )
 def test_pairs(spark, sf):
-    return router.test_pairs(table(spark, sf, "chunks").where("path is not null"))
+    """The tables have no tests beside their files, so some files get one."""
+    files = table(spark, sf, "chunks").where("path is not null").select("path").distinct()
+    go_py, script = r"\.(go|py)$", r"\.(tsx?|jsx?)$"
+    made = files.where(F.col("path").rlike(go_py) & (F.length("path") % 2 == 0)).select(F.regexp_replace("path", go_py, r"_test.$1").alias("path"))
+    more = files.where(F.col("path").rlike(script) & (F.length("path") % 3 == 0)).select(F.regexp_replace("path", script, r".spec.$1").alias("path"))
+    return router.test_pairs(files.union(made).union(more))
 
 
 @registry.query(
@@ -150,10 +209,31 @@ def debounce_sessions(spark, sf):
     return runs.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("started", "ended")], "events")
 
 
-@registry.query("event_filter", "select event_type, count(*) as events, min(ts) as first_at from events where event_type in (select event_type from events group by 1 having count(*) > 10) group by event_type")
+_KINDS = ("create", "write", "chmod", "remove", "rename", "WRITE", "other")
+_EXT_LIST, _NAME_LIST = (", ".join(f"'{x}'" for x in values) for values in (paths.EXTENSIONS, paths.BASENAMES))
+
+
+@registry.query(
+    "event_filter",
+    f"""with e as (select path, list_extract([{", ".join(f"'{k}'" for k in _KINDS)}], (length(path) % {len(_KINDS)} + 1)::int) as event_type from (select path from chunks where path is not null union all select '.git/' || path from chunks where path is not null union all select path || '.bin' from chunks where path is not null))
+    select event_type, path, count(*) as events from e where lower(event_type) in ('create', 'write', 'remove', 'rename') and not regexp_matches(path, '{_ignored_sql()}')
+    and (lower(event_type) in ('remove', 'rename') or lower(regexp_extract(path, '(\\.[^./]*)$', 1)) in ({_EXT_LIST}) or split_part(path, '/', -1) in ({_NAME_LIST})) group by all""",
+)
 def event_filter(spark, sf):
-    """Events of frequent types, counted; the stream form filters by path and change."""
-    events = table(spark, sf, "events")
-    return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.min("ts").alias("first_at")).where("events > 10")
+    """Changes of all files, of copies of them in an ignored folder and under an unknown extension: those that matter, counted."""
+    p = table(spark, sf, "chunks").where("path is not null").select("path")
+    all_paths = p.unionAll(p.select(F.concat(F.lit(".git/"), "path").alias("path"))).unionAll(p.select(F.concat("path", F.lit(".bin")).alias("path")))
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), F.length("path") % len(_KINDS) + 1)
+    return watch.relevant_events(all_paths.select("path", kind.alias("event_type"))).groupBy("event_type", "path").agg(F.count(F.lit(1)).alias("events"))
 
 
+@registry.query(
+    "capped_refs",
+    r"""with l as (select path, start_line, unnest(string_split(coalesce(content, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(content, ''), chr(10)), 1) as n from chunks where not ends_with(kind, '_summary')),
+    r as (select distinct s.symbol, path, greatest(coalesce(start_line, 1), 1) + n - 1 as line_no from l, (values ('ledger'), ('window'), ('cache')) s(symbol) where regexp_matches(line, '(^|[^A-Za-z0-9_])' || s.symbol || '([^A-Za-z0-9_]|$)')),
+    c as (select *, row_number() over (partition by symbol order by path nulls first, line_no) as per from r) select symbol, path, line_no from c where per <= 20 order by symbol, per limit 30""",
+)
+def capped_refs(spark, sf):
+    """Uses of three names, at most 20 of each and 30 in all."""
+    chunks = table(spark, sf, "chunks").where(~F.col("kind").endswith("_summary"))
+    return router.capped_references(router.word_references(chunks, ["ledger", "window", "cache"]), 20, 30)

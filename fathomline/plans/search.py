@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fathomline.functions import text
+from fathomline.functions import paths, text
 from fathomline.functions.text import parse_query
-from fathomline.operators import search
+from fathomline.operators import graph, search
+from fathomline.plans.graph import _DEGREES, _RANKS
 from fathomline.plans.registry import Registry
 from fathomline.plans.views import CHUNKS, now
+from fathomline.session import materialise
 from fathomline.tables import table
 
 registry = Registry()
@@ -84,9 +86,48 @@ def _hits(spark, sf, k):
     return search.attach(search.hybrid(chunks, _question(spark, sf), parse_query(QUESTION), k), chunks)
 
 
-@registry.query("hybrid_rrf", _hybrid_sql(K) + "select id, rrf, sem_rank, bm25_rank from hit")
+@registry.query("hybrid_rrf", _hybrid_sql(K) + "select hit.id, rrf, sem_rank, bm25_rank, sem.score as score from hit left join sem on sem.id = hit.id")
 def hybrid_rrf(spark, sf):
-    return search.hybrid(now(spark, sf, "chunks"), _question(spark, sf), parse_query(QUESTION), K)
+    """Every hit has its cosine, also those that only the lexical leg found."""
+    chunks, vector = now(spark, sf, "chunks"), _question(spark, sf)
+    return search.with_cosine(search.hybrid(chunks, vector, parse_query(QUESTION), K), chunks, vector)
+
+
+@registry.query("demoted_hits", _hybrid_sql(POOL) + f", sides as (select *, regexp_matches(path, '{paths.TAG_DOC}') or regexp_matches(path, '{paths.TAG_BUILD}') or regexp_matches(path, '{paths.TAG_TEST}') or regexp_matches(path, '{paths.TAG_FIXTURE}') as side from full_hit) select id, row_number() over (order by side, rrf desc, id) as place from sides")
+def demoted_hits(spark, sf):
+    """Hits with documentation, build files and tests behind the rest, each in its order."""
+    return search.demoted(_hits(spark, sf, POOL), _best()).select("id", "place")
+
+
+@registry.query("summaries_first", _hybrid_sql(POOL) + f"select id, row_number() over (order by ends_with(kind, '_summary')::int desc, rrf desc, id) as place from full_hit qualify place <= {K}")
+def summaries_first(spark, sf):
+    hits = _hits(spark, sf, POOL)
+    is_summary = F.col("kind").endswith("_summary")
+    return search.filled_up(hits.where(is_summary), hits.where(~is_summary), _best(), K).select("id", "place")
+
+
+@registry.query("hit_packages", _hybrid_sql(POOL) + ", nd as (select * from graph_nodes where id is not null qualify row_number() over (partition by id order by last_seen_at desc) = 1) select distinct package_path from full_hit join nd on nd.file_path = full_hit.path where package_path <> ''")
+def hit_packages(spark, sf):
+    """The packages of the files that were hit."""
+    return graph.packages_of_paths(_hits(spark, sf, POOL), now(spark, sf, "graph_nodes"))
+
+
+@registry.query(
+    "chunk_rank",
+    f"with {CHUNKS}, {_DEGREES}, {_RANKS}, nr as (select nd.*, round(pagerank, 9) as pagerank from nd join pr using (id)), cov as (select ch.id, max(nr.pagerank) as best from ch join nr on nr.file_path = ch.path and ch.start_line between nr.start_line and nr.end_line where nr.file_path <> '' group by ch.id), anyone as (select file_path as path, max(pagerank) as best from nr where file_path <> '' group by 1)"
+    " select ch.id, case when cov.best > 0 then cov.best else coalesce(anyone.best, 0.0) end as pagerank from ch left join cov on cov.id = ch.id left join anyone on anyone.path = ch.path",
+)
+def chunk_rank(spark, sf):
+    """The rank of the symbol that covers a chunk, else of the best one in its file."""
+    nodes, edges = now(spark, sf, "graph_nodes"), now(spark, sf, "graph_edges")
+    ranks = graph.pagerank(nodes, graph.flow_edges(edges, nodes)).withColumn("pagerank", F.round("pagerank", 9))
+    return graph.chunk_ranks(now(spark, sf, "chunks").select("id", "path", "start_line"), nodes.select("id", "file_path", "start_line", "end_line").join(ranks, "id"))
+
+
+@registry.query("symbol_paths", f"with {CHUNKS} select name, count(distinct path) as paths from ch where name <> '' group by name having count(distinct path) > 1")
+def symbol_paths(spark, sf):
+    """Names that are defined in several files."""
+    return now(spark, sf, "chunks").where("name <> ''").groupBy("name").agg(F.countDistinct("path").alias("paths")).where("paths > 1")
 
 
 def _best():
@@ -138,18 +179,18 @@ def format_hits(spark, sf):
 
 @registry.query(
     "symbol_lookup",
-    f"""with {CHUNKS}, nd as (select * from graph_nodes where id is not null qualify row_number() over (partition by id order by last_seen_at desc) = 1), ind as (select dst_id, count(distinct src_id) as n from graph_edges where kind = 'calls' group by dst_id),
-    c as (select ch.id as id, ch.name as name, ch.path as path, ch.start_line as start_line, max(coalesce(ind.n, 0)) as in_degree from ch left join nd on nd.chunk_id = ch.id left join ind on ind.dst_id = nd.id where ch.name <> '' group by all)
-    select id, name, path, start_line, in_degree from c qualify row_number() over (partition by name order by in_degree desc, path, start_line nulls first, id) <= 10""",
+    f"""with {CHUNKS}, {_DEGREES}, {_RANKS}, nr as (select nd.chunk_id as id, round(pagerank, 9) as pagerank, coalesce(in_degree, 0)::bigint as in_degree from nd left join pr using (id) left join deg using (id) where chunk_id is not null),
+    br as (select id, pagerank, in_degree from nr qualify row_number() over (partition by id order by pagerank desc nulls last, in_degree desc) = 1),
+    c as (select ch.id, ch.name, ch.path, ch.start_line, coalesce(pagerank, 0.0) as pagerank, coalesce(in_degree, 0) as in_degree from ch left join br on br.id = ch.id where ch.name <> '')
+    select * from c qualify row_number() over (partition by name order by pagerank desc, in_degree desc, path nulls first, start_line nulls first, id) <= 10""",
 )
 def symbol_lookup(spark, sf):
-    """For every symbol name its ten best definitions: most callers, then path and line."""
-    chunks = now(spark, sf, "chunks").where("name <> ''").select("id", "name", "path", "start_line")
-    nodes = now(spark, sf, "graph_nodes").where("chunk_id is not null").select(F.col("chunk_id").alias("id"), F.col("id").alias("node"))
-    callers = table(spark, sf, "graph_edges").where("kind = 'calls'").select(F.col("dst_id").alias("node"), "src_id").distinct().groupBy("node").agg(F.count("src_id").alias("n"))
-    best = chunks.join(nodes.join(callers, "node"), "id", "left").groupBy("id", "name", "path", "start_line").agg(F.max(F.coalesce("n", F.lit(0))).alias("in_degree"))
-    rank = F.row_number().over(search.Window.partitionBy("name").orderBy(F.desc("in_degree"), "path", F.asc_nulls_first("start_line"), "id"))
-    return best.withColumn("_n", rank).where("_n <= 10").drop("_n")
+    """For every symbol name its ten best definitions: rank in the graph, callers, then path and line."""
+    nodes, edges = now(spark, sf, "graph_nodes"), now(spark, sf, "graph_edges")
+    flow = materialise(graph.flow_edges(edges, nodes), "flow")
+    measured = nodes.select("id", "chunk_id").join(graph.pagerank(nodes, flow), "id", "left").join(graph.degrees(flow), "id", "left")
+    measured = measured.select(F.col("chunk_id").alias("id"), F.round(F.coalesce("pagerank", F.lit(0.0)), 9).alias("pagerank"), F.coalesce("in_degree", F.lit(0)).alias("in_degree"))
+    return search.definitions(now(spark, sf, "chunks").select("id", "name", "path", "start_line"), measured, 10)
 
 
 @registry.query(

@@ -91,7 +91,7 @@ _CHANGES = """with ok as (select run_id from index_runs where status = 'ok'),
     found as (select 'chunks' as table_name, cast(c.id as varchar) as record_id, max(last_seen_at) as stamp from chunks c
       where not exists (select 1 from done d where d.table_name = 'chunks' and d.record_key = c.path and d.h = lower(c.content_sha1)) group by c.id
     union all select 'graph_nodes', id, last_seen_at from now left join was on record_key = id where record_key is null or now.h is distinct from was.h),
-    last as (select run_id, started_at as s from index_runs where status = 'ok' order by run_id desc limit 1),
+    last as (select run_id, started_at as s from index_runs where status = 'ok' order by started_at desc nulls last, run_id desc limit 1),
     point as (select epoch_us(least(s, (select min(started_at) from index_runs r, last where r.started_at <= s and (r.finished_at is null or r.finished_at >= s)))) * 1000 as p from last)
 """
 
@@ -112,7 +112,7 @@ def p7_lanes(spark, sf):
 
 @registry.query(
     "p7_reread",
-    """with last as (select run_id as last_ok_run, started_at as s from index_runs where status = 'ok' order by run_id desc limit 1)
+    """with last as (select run_id as last_ok_run, started_at as s from index_runs where status = 'ok' order by started_at desc nulls last, run_id desc limit 1)
     select last_ok_run, least(s, (select min(started_at) from index_runs r, last where r.started_at <= s and (r.finished_at is null or r.finished_at >= s))) as reread_from from last""",
 )
 def p7_reread(spark, sf):

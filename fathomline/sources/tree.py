@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions import paths
+from fathomline.functions.text import without_comments
 
 FILES = "path string, content string, size bigint, modified timestamp"
 
@@ -46,7 +47,5 @@ def export_jsonl(df: DataFrame, path: str, order: str = "id") -> None:
 
 def bundle_text(files: DataFrame, strip: bool = False) -> DataFrame:
     """``path, block``: each file under a line with its path; ``strip`` drops blank and comment lines."""
-    body = F.col("content")
-    if strip:
-        body = F.array_join(F.filter(F.split(body, "\n", -1), lambda x: ~x.rlike(r"^[ \t\r]*(#|//|--|$)")), "\n")
+    body = without_comments(F.col("path"), F.col("content")) if strip else F.col("content")
     return files.select("path", F.concat(F.lit("===== "), "path", F.lit(" =====\n"), body, F.lit("\n")).alias("block"))

@@ -138,7 +138,7 @@ def test_rollups(spark):
     h = lambda s: sha1(s.encode()).hexdigest()
     got = {r.dir: (r.files, r.package_sha) for r in rollup.package_keys(chunks).collect()}
     assert got == {"a": (1, h("v1\0" + h("s1:s2"))), "b": (1, h("v1\0" + h("s4")))}
-    text = spark.createDataFrame([("Ends well.", False), ("Ends in the mid", True), ("- list `x`\n", False), (None, True)], "t string, want boolean")
+    text = spark.createDataFrame([("Ends well.", False), ("Ends in the mid", False), ("- list `x`\n", False), (None, False), ("", False), ("Calls `open", True), ("**Bold** and **more", True), ("text\n- **  ", True), ("text\n- *", True), ("```go\nx\n```", False)], "t string, want boolean")
     assert text.where(rollup.looks_truncated(F.col("t")) != F.col("want")).count() == 0
 
 

@@ -171,3 +171,39 @@ def test_a_failed_run_neither_skips_nor_repeats(spark):
 def test_newest_row_breaks_ties_by_value(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "z"), ("b", None, "q"), (None, 1, "n")], "k string, s int, v string")
     assert {r.k: r.v for r in newest_row(df, "k", "s", "v").collect()} == {"a": "z", "b": "q", None: "n"}
+
+
+def test_a_killed_run_is_as_if_it_had_not_been(spark, tmp_path):
+    from fathomline.sources.ledger import RunLedger
+
+    ledger = RunLedger(spark, str(tmp_path / "ledger"), buckets=4)
+    rows = [(1, "a", "AA", 10), (2, "b", "bb", 20), (3, "c", None, 30), (4, "d", "dd", None)]
+    df = lambda data: spark.createDataFrame(data, "id bigint, path string, sha string, seen bigint")
+    ids = lambda d: sorted(r.id for r in d.collect())
+    pending = lambda data, **more: ids(ledger.pending(df(data), "path", "sha", "seen", **more))
+    assert pending(rows) == [1, 2, 3, 4] and ledger.reread_from() is None
+    killed = ledger.open(now=5)
+    ledger.append(killed, df(rows), "path", "sha")  # and here it dies, before its commit
+    assert pending(rows) == [1, 2, 3, 4]
+    run = ledger.open(now=15)
+    todo = ledger.pending(df(rows), "path", "sha", "seen")
+    ledger.append(run, todo, "path", "sha")
+    ledger.append(run, todo, "path", "sha")  # a repeated write changes nothing
+    assert pending(rows) == [1, 2, 3, 4], "not before the commit"
+    ledger.commit(run, now=18)
+    assert pending(rows) == [3], "records without a version always come out"
+    assert ledger.reread_from() == 5, "the killed run is still open"
+    ledger.abandon(killed, now=6)
+    assert ledger.reread_from() == 15
+    with pytest.raises(RuntimeError):
+        ledger.commit(run)
+    # touched, changed, late and new records
+    later = [(1, "a", "aa", 99), (2, "b", "b2", 98), (5, "e", "ee", 1), (6, "f", "ff", 97)]
+    assert pending(later) == [2, 5, 6] and pending(later, late=False) == [2, 6]  # not 5, which came with an old stamp
+    third = ledger.open(now=50)
+    ledger.append(third, ledger.pending(df(later), "path", "sha", "seen"), "path", "sha")
+    ledger.commit(third, now=60)
+    assert pending(later) == [] and pending([(2, "b", "bb", 100)]) == [], "an earlier version is processed"
+    plan = ledger.pending(df(later), "path", "sha", "seen")._jdf.queryExecution().executedPlan().toString()
+    assert "run_id" in plan.split("PartitionFilters")[1].split("PushedFilters")[0] and "NestedLoop" not in plan
+    assert ids(ledger.pending(df([]), "path", "sha", "seen")) == []
