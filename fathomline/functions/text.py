@@ -96,10 +96,11 @@ def line_range(text: Column, first: int, last: int, most_lines: int, most_bytes:
     return F.struct(kept["t"].alias("content"), (kept["stop"] | (F.size(wanted) > most_lines)).alias("truncated"))
 
 
-def embed_text(path: Column, kind: Column, name: Column, content: Column) -> Column:
-    """The text that is embedded: path, kind (not of windows), name, then the content; null parts are left out."""
+def embed_text(path: Column, kind: Column, name: Column, content: Column, parent: Column | None = None) -> Column:
+    """The text that is embedded: path, kind (not of windows), parent, name, then the content; null parts are left out."""
     some = lambda prefix, c, when: F.when(when & c.isNotNull() & (c != ""), F.concat(F.lit(prefix), c))
-    return F.concat_ws("\n", some("// ", path, F.lit(True)), some("// kind: ", kind, kind != "window"), some("// name: ", name, F.lit(True)), content)
+    inside = [] if parent is None else [some("// parent: ", parent, F.lit(True))]
+    return F.concat_ws("\n", some("// ", path, F.lit(True)), some("// kind: ", kind, kind != "window"), *inside, some("// name: ", name, F.lit(True)), content)
 
 
 def halve_oversized(text: str, most_bytes: int = MOST_BYTES) -> list[tuple[int, int, str]]:

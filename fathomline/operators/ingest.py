@@ -46,6 +46,13 @@ def touch(current: DataFrame, seen: DataFrame, key: list[str], at: Column) -> Da
     return out.select(*current.columns)
 
 
+def touch_paths(current: DataFrame, unchanged: DataFrame, at: Column) -> DataFrame:
+    """``current`` with ``last_seen_at`` set to ``at`` for all rows of the paths in ``unchanged(path)``."""
+    seen = unchanged.select("path").distinct().withColumn("_same", F.lit(True))
+    joined = current.join(seen, "path", "left")
+    return joined.withColumn("last_seen_at", F.when(F.col("_same"), at).otherwise(F.col("last_seen_at"))).select(*current.columns)
+
+
 def prune(chunks: DataFrame, cutoff: int) -> DataFrame:
     """Without rows last seen before ``cutoff``, except summaries of packages and the repository; then without package
     summaries below whose path no other row is left.

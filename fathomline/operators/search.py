@@ -98,11 +98,15 @@ def fuse(semantic: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
     return both.select("id", F.round(share("sem_rank") + share("bm25_rank"), 6).alias("rrf"), "sem_rank", "bm25_rank").orderBy(F.desc("rrf"), "id").limit(k)
 
 
-def hybrid(chunks: DataFrame, query_vector: DataFrame, query: ParsedQuery, k: int, lexical: bool = True) -> DataFrame:
-    """Hybrid search: both legs up to ``max(5k, 30)``, fused, the ``k`` best; the cosine leg alone without query terms."""
+def hybrid(chunks: DataFrame, query_vector: DataFrame, query: ParsedQuery, k: int, lexical: bool = True, ranked: Callable[[ParsedQuery, int], DataFrame] | None = None) -> DataFrame:
+    """Hybrid search: both legs up to ``max(5k, 30)``, fused, the ``k`` best; the cosine leg alone without query terms.
+
+    ``ranked(query, k)`` gives the lexical leg from a stored index; without it the text is searched.
+    """
     pool = max(5 * k, 30)
     semantic = knn(chunks, query_vector, pool)
-    legs = bm25(chunks, query if lexical else ParsedQuery([], False), pool)
+    asked = query if lexical else ParsedQuery([], False)
+    legs = ranked(asked, pool) if ranked else bm25(chunks, asked, pool)
     return fuse(semantic, legs, k)
 
 

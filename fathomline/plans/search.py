@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import paths, text
 from fathomline.functions.text import parse_query
-from fathomline.operators import graph, search
+from fathomline.operators import graph, postings, search
 from fathomline.plans.graph import _DEGREES, _RANKS
 from fathomline.plans.registry import Registry
+from fathomline.plans.stored import term_index
 from fathomline.plans.views import CHUNKS, now
 from fathomline.session import materialise
 from fathomline.tables import table
@@ -63,9 +64,10 @@ def related_chunks(spark, sf):
 
 
 def _bm25(question, mode="auto"):
-    return lambda spark, sf: search.bm25(now(spark, sf, "chunks"), parse_query(question, mode), K)
+    return lambda spark, sf: postings.bm25_stored(term_index(spark, sf), parse_query(question, mode), K)
 
 
+registry.query("bm25_unindexed", f"with {CHUNKS}, {_sql_terms(QUESTION)} select * from lex")(lambda spark, sf: search.bm25(now(spark, sf, "chunks"), parse_query(QUESTION), K))
 for _name, _q, _m in (("bm25_topk", QUESTION, "auto"), ("bm25_and", BOTH, "auto"), ("bm25_or", BOTH, "or"), ("phrase_match", PHRASE, "auto")):
     registry.query(_name, f"with {CHUNKS}, {_sql_terms(_q, _m)} select * from lex")(_bm25(_q, _m))
 
@@ -83,14 +85,19 @@ def _hybrid_sql(k: int) -> str:
 
 def _hits(spark, sf, k):
     chunks = now(spark, sf, "chunks")
-    return search.attach(search.hybrid(chunks, _question(spark, sf), parse_query(QUESTION), k), chunks)
+    return search.attach(_fused(spark, sf, chunks, k), chunks)
+
+
+def _fused(spark, sf, chunks, k):
+    index = term_index(spark, sf)
+    return search.hybrid(chunks, _question(spark, sf), parse_query(QUESTION), k, ranked=lambda query, pool: postings.bm25_stored(index, query, pool))
 
 
 @registry.query("hybrid_rrf", _hybrid_sql(K) + "select hit.id, rrf, sem_rank, bm25_rank, sem.score as score from hit left join sem on sem.id = hit.id")
 def hybrid_rrf(spark, sf):
     """Every hit has its cosine, also those that only the lexical leg found."""
     chunks, vector = now(spark, sf, "chunks"), _question(spark, sf)
-    return search.with_cosine(search.hybrid(chunks, vector, parse_query(QUESTION), K), chunks, vector)
+    return search.with_cosine(_fused(spark, sf, chunks, K), chunks, vector)
 
 
 @registry.query("demoted_hits", _hybrid_sql(POOL) + f", sides as (select *, regexp_matches(path, '{paths.TAG_DOC}') or regexp_matches(path, '{paths.TAG_BUILD}') or regexp_matches(path, '{paths.TAG_TEST}') or regexp_matches(path, '{paths.TAG_FIXTURE}') as side from full_hit) select id, row_number() over (order by side, rrf desc, id) as place from sides")

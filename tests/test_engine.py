@@ -88,3 +88,53 @@ def test_queries_are_known_without_a_session():
     code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"
     done = subprocess.run([sys.executable, "-B", "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+def test_unchanged_files_are_not_opened_and_rules_of_the_project_hold(spark, tmp_path):
+    import time
+
+    root = tmp_path / "proj"
+    big = "def big(a, b):\n" + "".join(f"    a = a + {i}\n" for i in range(40)) + "    return total([a, b])\n"
+    for name, text in {**FILES, "shop/big.py": "import os\nfrom shop.price import total\n\n\n" + big, "shop/test_price.py": "from shop.price import total\n", "out/made.py": "x = 1\n", ".gitignore": "out/\n"}.items():
+        os.makedirs(root / os.path.dirname(name), exist_ok=True)
+        (root / name).write_text(text)
+    engine = Engine(spark, str(tmp_path / "store"))
+    first = time.time_ns()
+    engine.index(str(root), now=first)
+    assert {r.path for r in engine.chunks().select("path").distinct().collect()} == {"shop/cart.py", "shop/price.py", "README.md", "shop/big.py", "shop/test_price.py"}
+    edges = engine.edges().count()
+    old = first // 10**9 - 1000
+    for p in root.rglob("*.*"):
+        os.utime(p, (old, old))
+    # what is not opened is not noticed: the text changes under an old stamp, another file gets a new one
+    (root / "shop/cart.py").write_text("x = 1\n")
+    os.utime(root / "shop/cart.py", (old, old))
+    (root / "shop/new.py").write_text("def fresh():\n    return 2\n")
+    os.utime(root / "shop/new.py", (old, old))
+    (root / "README.md").write_text("# Shop\n\nAnother text.\n")
+    os.utime(root / "README.md", (first // 10**9 + 50, first // 10**9 + 50))
+    (root / "shop/test_price.py").unlink()
+    engine.index(str(root), now=first + 10**9)
+    chunks = {(r.path, r.name): r.content for r in engine.chunks().collect()}
+    assert ("shop/cart.py", "Cart") in chunks and ("shop/new.py", "fresh") in chunks and "Another text" in chunks["README.md", ""]
+    assert not any(p == "shop/test_price.py" for p, _ in chunks)
+    assert edges - 6 <= engine.edges().count() <= edges + 6 and engine.callers("total").count() > 0
+    engine.index(str(root), now=first + 2 * 10**9, full=True)
+    assert ("shop/cart.py", "Cart") not in {(r.path, r.name) for r in engine.chunks().collect()}
+    # bundles carry source within a budget, and notes on their files
+    bundle = engine.ask("big")
+    assert bundle["intent"] == "symbol_lookup" and bundle["symbols"][0]["body"].startswith("def big(a, b):") and bundle["symbols"][0]["signature"] == "def big(a, b)"
+    assert "import os" in bundle["annotations"]["shop/big.py"]["imports"] and bundle["annotations"]["shop/big.py"]["nearest_doc"] == "README.md"
+    assert all(len(h["content"]) <= 64 for h in engine.ask("big", most_bytes=64)["hits"])
+    assert {r["path"] for r in engine.ask("who calls Cart.sum")["references"]} == {"shop/price.py"}
+    # summaries: queued once, drained, failures stay with their error
+    assert engine.enqueue_summaries(now=1) == 1 and engine.enqueue_summaries(now=2) == 0
+
+    def broken(text):
+        raise ValueError("no model")
+
+    assert engine.drain_summaries(broken) == 0
+    assert [(r.attempts, r.last_error) for r in engine.queue().collect()] == [(1, "no model")]
+    assert engine.drain_summaries(lambda t: f"{len(t.splitlines())} lines") == 1 and engine.drain_summaries(broken) == -1
+    assert [r.content for r in engine.chunks().where("kind = 'chunk_summary'").collect()] == [f"{len(big.splitlines())} lines"]
+    assert engine.enqueue_summaries(now=3) == 0

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -108,3 +109,36 @@ def test_halving_covers_everything():
     parts = halve_oversized(text)
     assert all(len(p.encode()) <= 4097 for _, _, p in parts)
     assert "".join("".join(p for _, _, p in parts).split()) == "".join(text.split())
+
+
+def test_stored_postings_equal_the_search_of_texts(spark, tmp_path):
+    from fathomline.functions.text import parse_query
+    from fathomline.operators import postings
+
+    rnd = random.Random(5)
+    rows = [(i, f"p/{i}.go", rnd.choice(["window", "function", None]), " ".join(rnd.choices(["na", "nana", "ledger", "merge", "x_y", "Ünï"], k=rnd.randint(0, 40)))) for i in range(200)]
+    rows += [(500, None, None, None), (501, "a", "b", ""), (None, "a", "b", "ledger")]
+    chunks = spark.createDataFrame(rows, "id bigint, path string, kind string, content string")
+    postings.write_postings(chunks, str(tmp_path / "terms"))
+    index = postings.read_postings(spark, str(tmp_path / "terms"))
+    for question in ("ledger", "ledger merge", "ledger merge x_y nope", '"na na"', '"na nana na"', '"merge ledger" go', "ünï", "absent", "", '"na na na na"'):
+        want = [tuple(r) for r in search.bm25(chunks.where("id is not null"), parse_query(question), 20).collect()]
+        assert [tuple(r) for r in postings.bm25_stored(index, parse_query(question), 20).collect()] == want, question
+    plan = postings.bm25_stored(index, parse_query("ledger merge"), 5)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan and "bucket" in plan.split("PartitionFilters")[1] and "In(term" in plan
+    postings.write_postings(chunks.limit(0), str(tmp_path / "none"))
+    assert postings.bm25_stored(postings.read_postings(spark, str(tmp_path / "none")), parse_query("ledger"), 5).count() == 0
+
+
+def test_cosines_of_lexical_hits_and_orders_of_lists(spark):
+    vec = lambda x: [float(x)] + [1.0] * 63
+    chunks = spark.createDataFrame([(1, "a.go", vec(1)), (2, "b.md", vec(2)), (3, "c.go", None), (4, "d_test.go", [0.0] * 64), (5, "e.go", vec(5))], "id bigint, path string, vec array<float>")
+    hits = chunks.select("id", "path", F.col("id").cast("double").alias("rrf"))
+    got = {r.id: r.score for r in search.with_cosine(hits, chunks, spark.createDataFrame([(vec(1),)], "qvec array<float>")).collect()}
+    assert got[1] == 1.0 and got[3] is None and got[4] is None and got[5] < got[2] < 1
+    order = [F.desc("rrf"), F.col("id")]
+    assert [r.id for r in search.demoted(hits, order).orderBy("place").collect()] == [5, 3, 1, 4, 2]
+    assert [r.id for r in search.filled_up(hits.where("id = 2"), hits.where("id <> 2"), order, 3).orderBy("place").collect()] == [2, 5, 4]
+    ranks = spark.createDataFrame([(1, 0.1, 5), (1, 0.2, 1), (5, 0.1, 9)], "id bigint, pagerank double, in_degree bigint")
+    named = chunks.select("id", F.lit("f").alias("name"), "path", F.lit(1).alias("start_line"))
+    assert [(r.id, r.pagerank) for r in search.definitions(named, ranks, 3).orderBy(F.desc("pagerank"), "path").collect()] == [(1, 0.2), (5, 0.1), (2, 0.0)]
