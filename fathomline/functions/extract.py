@@ -2,14 +2,15 @@
 
 A file is parsed by itself into flat records; which call means which symbol is decided by joins between these records,
 in the order: own package, own class, imported name, imported module or class.  Python is parsed with its own grammar, the
-other languages by their declaration heads.  Calls through values, inheritance and types of receivers are not resolved.
+other languages by their declaration heads.  Types give the interfaces they name (Rust, Java, TypeScript), and in Go what
+they embed and their fields.  Calls through values, inheritance and types of receivers are not resolved.
 """
 
 from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,9 +25,19 @@ _KEYWORDS = frozenset("if for while switch catch return function new typeof awai
 _CALL = re.compile(r"(?<![\w.$:])(?:(?P<new>new)\s+)?(?:(?P<base>[A-Za-z_$][\w$]*(?:::[A-Za-z_]\w*)*)(?:\.|::))?(?P<name>[A-Za-z_$][\w$]*)\s*(?:<[\w, ]+>)?\(")
 
 
+_IMPL = re.compile(r"^\s*(?:unsafe\s+)?impl(?:<[^{]*?>)?\s+(?P<trait>[\w:]+)(?:<[^{]*?>)?\s+for\s+&?(?P<type>[\w:]+)", re.M)
+_IMPLEMENTS = re.compile(r"\bclass\s+(?P<type>\w+)[^{]*?\bimplements\s+(?P<names>[^{]+)\{")
+_GO_FIELD = re.compile(r"^\s+(?P<names>[A-Za-z_]\w*(?:\s*,\s*[A-Za-z_]\w*)*)\s+[^\s/`(].*$")
+_GO_EMBED = re.compile(r"^\s+\*?(?P<name>(?:\w+\.)?[A-Za-z_]\w*)\s*(?:`[^`]*`)?\s*(?://.*)?$")
+_YAML_REFERENCE = r"^\s*-?\s*(?:import|vars\.load|use)\s*:\s*(.+?)\s*$"
+_YAML_EXTENSIONS = ("yaml", "yml")
+
+
 def package_of(path: str, text: str) -> str:
     """The package path of a file by the rule of its language."""
     stem, _, ext = path.rpartition(".")
+    if ext in _YAML_EXTENSIONS:
+        return "yaml"
     if ext == "py":
         dotted = stem.replace("/", ".")
         return dotted.removesuffix(".__init__") if dotted != "__init__" else ""
@@ -156,16 +167,61 @@ def _bracketed_file(path: str, package: str, ext: str, text: str) -> list[dict]:
     return out
 
 
+def _relations(path: str, package: str, ext: str, text: str) -> Iterator[dict]:
+    """What types declare about each other: implemented interfaces, and for Go embedded types and fields."""
+    at = lambda pos: text.count("\n", 0, pos) + 1
+    row = lambda kind, owner, name, line: _record("relation", path, package, kind=kind, owner=owner, name=name, start_line=line, end_line=line)
+    if ext == "rs":
+        for m in _IMPL.finditer(text):
+            yield row("implements", m["type"].rsplit("::", 1)[-1], m["trait"].rsplit("::", 1)[-1], at(m.start()))
+    elif ext in ("java", "ts", "tsx"):
+        for m in _IMPLEMENTS.finditer(text):
+            for name in re.sub(r"<[^<>]*>", "", m["names"]).split(","):
+                yield row("implements", m["type"], name.strip().rsplit(".", 1)[-1], at(m.start()))
+    elif ext == "go":
+        for m in re.finditer(r"^type\s+(?P<name>\w+)\s+(?P<kind>struct|interface)\s*\{[ \t]*\n(?P<body>.*?)^\}", text, re.M | re.S):
+            first = at(m.start("body"))
+            depth = 0
+            for no, line in enumerate(m["body"].split("\n"), first):
+                if depth == 0:
+                    embedded = _GO_EMBED.match(line)
+                    if embedded:
+                        yield row("embeds", m["name"], embedded["name"].rsplit(".", 1)[-1], no)
+                    elif m["kind"] == "struct" and (field := _GO_FIELD.match(line)):
+                        for name in re.split(r"\s*,\s*", field["names"]):
+                            yield _record("symbol", path, package, kind="field", name=name, qualified=f"{m['name']}.{name}", owner=m["name"], start_line=no, end_line=no)
+                depth += line.count("{") - line.count("}")
+
+
+def _yaml_file(path: str, text: str) -> Iterator[dict]:
+    for no, line in enumerate(text.split("\n"), 1):
+        m = re.match(_YAML_REFERENCE, line)
+        if m:
+            value = re.sub(r" #.*$", "", m[1]).strip()
+            if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'":
+                value = value[1:-1]
+            if value and "{{" not in value and not value.startswith("/"):
+                yield _record("reference", path, "yaml", target=value, start_line=no, end_line=no)
+
+
 def extract_file(path: str, text: str | None) -> list[dict]:
     """Flat records of a file; none for null texts, unknown extensions and files that cannot be parsed."""
     ext = path.rsplit(".", 1)[-1].lower() if "." in path else ""
-    if not text or ext not in ("py", "ts", "tsx", "js", "jsx", "mjs", "rs", "java", "go"):
+    if not text or ext not in EXTRACTORS:
         return []
     package = package_of(path, text)
-    found = _python_file(path, package, text) if ext == "py" else _bracketed_file(path, package, ext, text)
+    found = EXTRACTORS[ext](path, package, ext, text)
     return [_record("file", path, package, start_line=1, end_line=text.count("\n") + 1), *found]
 
 
+#: What reads a file of an extension; another language is added by a function (path, package, extension, text) -> records.
+EXTRACTORS: dict[str, Callable[[str, str, str, str], list[dict]]] = {
+    "py": lambda path, package, ext, text: _python_file(path, package, text),
+    **dict.fromkeys(("ts", "tsx", "js", "jsx", "mjs", "rs", "java", "go"), lambda path, package, ext, text: [*_bracketed_file(path, package, ext, text), *_relations(path, package, ext, text)]),
+    **dict.fromkeys(_YAML_EXTENSIONS, lambda path, package, ext, text: list(_yaml_file(path, text))),
+}
+
+
 def extract_records(files: DataFrame) -> DataFrame:
     """The records of all files (path, content)."""
 
@@ -194,6 +250,7 @@ def build_graph(records: DataFrame, module: str) -> tuple[DataFrame, DataFrame]:
     c = F.col
     files = records.where("rec = 'file'").select("path", "package", "start_line", "end_line")
     symbols = records.where("rec = 'symbol'").withColumn("id", node_id(module, c("package"), c("kind"), c("qualified")))
+    callable_ = symbols.where("kind <> 'field'")
     imports = records.where("rec = 'import'").withColumn("id", node_id(module, c("package"), F.lit("import"), c("target")))
     file_id, package_id = node_id(module, c("package"), F.lit("file"), c("path")), node_id(module, c("package"), F.lit("package"), c("package"))
     shape = lambda d, i, k, n, q, p, f, a, b: d.select(i.alias("id"), k.alias("kind"), n.alias("name"), q.alias("qualified_name"), p.alias("package_path"), f.alias("file_path"), a.alias("start_line"), b.alias("end_line"))
@@ -211,17 +268,53 @@ def build_graph(records: DataFrame, module: str) -> tuple[DataFrame, DataFrame]:
     owner = symbols.where("owner <> ''").join(symbols.where("kind in ('class', 'interface', 'type')").select("package", c("qualified").alias("owner"), c("id").alias("owner_id")), ["package", "owner"])
     edges = (
         edge(files, "contains", package_id, file_id, zero)
-        .unionByName(edge(symbols, "contains", file_id, c("id"), c("start_line")))
+        .unionByName(edge(callable_, "contains", file_id, c("id"), c("start_line")))
         .unionByName(edge(imports, "imports", file_id, c("id"), c("start_line")))
         .unionByName(edge(imports, "imports", package_id, c("id"), c("start_line")))
-        .unionByName(edge(owner, "has_method", c("owner_id"), c("id"), c("start_line")))
-        .unionByName(_call_edges(records, symbols, module, edge))
+        .unionByName(edge(owner.where("kind <> 'field'"), "has_method", c("owner_id"), c("id"), c("start_line")))
+        .unionByName(edge(owner.where("kind = 'field'"), "has_field", c("owner_id"), c("id"), c("start_line")))
+        .unionByName(_relation_edges(records, symbols))
+        .unionByName(_yaml_edges(records, module))
+        .unionByName(_call_edges(records, callable_, module, edge))
         .distinct()
     )
-    edges = edges.withColumn("id", edge_id(c("src_id"), c("kind"), c("dst_id"), c("file_path"), c("start_line")))
+    edges = with_provenance(edges.withColumn("id", edge_id(c("src_id"), c("kind"), c("dst_id"), c("file_path"), c("start_line"))))
     return nodes, edges.dropDuplicates(["id"])
 
 
+def with_provenance(edges: DataFrame) -> DataFrame:
+    """Edges with ``metadata_json``: where they come from and the language of their file, unless their metadata say so already."""
+    language = F.lower(F.regexp_extract("file_path", r"\.(\w+)$", 1))
+    own = F.coalesce(F.from_json("metadata_json", "map<string,string>"), F.create_map().cast("map<string,string>")) if "metadata_json" in edges.columns else F.create_map().cast("map<string,string>")
+    defaults = F.map_filter(F.create_map(F.lit("provenance"), F.lit("parser"), F.lit("language"), language), lambda k, v: ~F.map_contains_key(own, k))
+    return edges.withColumn("metadata_json", F.to_json(F.map_concat(defaults, own)))
+
+
+def _relation_edges(records: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``implements`` and ``embeds`` edges between types of one package, or to an imported type."""
+    c = F.col
+    types = symbols.where("kind in ('class', 'interface', 'type')").select("package", c("qualified").alias("type"), "id").dropDuplicates(["package", "type"])
+    said = records.where("rec = 'relation'").select("path", "package", "kind", "owner", "name", "start_line")
+    known = records.where("rec = 'import'").select("path", c("name").alias("name"), "target", "symbol").dropDuplicates(["path", "name"])
+    source = types.select("package", c("type").alias("owner"), c("id").alias("src_id"))
+    placed = said.join(source, ["package", "owner"]).join(known, ["path", "name"], "left")
+    own = types.select("package", c("type").alias("name"), c("id").alias("own_id"))
+    far = types.select(c("package").alias("target"), c("type").alias("symbol"), c("id").alias("far_id"))
+    joined = placed.join(own, ["package", "name"], "left").join(far, ["target", "symbol"], "left").withColumn("dst_id", F.coalesce("own_id", "far_id"))
+    return joined.where("dst_id is not null and dst_id <> src_id").select("kind", "src_id", "dst_id", c("path").alias("file_path"), "start_line")
+
+
+def _yaml_edges(records: DataFrame, module: str) -> DataFrame:
+    """``imports`` edges between YAML files that exist."""
+    from fathomline.functions import paths
+
+    c = F.col
+    at = lambda p: node_id(module, F.lit("yaml"), F.lit("file"), p)
+    said = records.where("rec = 'reference'").select("path", paths.joined(paths.dirname(c("path")), c("target")).alias("to"), "start_line").where("not startswith(to, '..')")
+    there = records.where("rec = 'file' and package = 'yaml'").select(c("path").alias("to")).distinct()
+    return said.join(there, "to", "left_semi").select(F.lit("imports").alias("kind"), at(c("path")).alias("src_id"), at(c("to")).alias("dst_id"), c("path").alias("file_path"), "start_line")
+
+
 def _call_edges(records: DataFrame, symbols: DataFrame, module: str, edge) -> DataFrame:
     c = F.col
     calls = records.where("rec = 'call'").withColumn("no", F.xxhash64("path", "qualified", "lane", "base", "name", "start_line"))
@@ -245,7 +338,6 @@ def _call_edges(records: DataFrame, symbols: DataFrame, module: str, edge) -> Da
     return edge(hit.join(caller, ["package", "qualified"]), "calls", c("caller"), c("b.id"), c("start_line"))
 
 
-_YAML_REFERENCE = r"^\s*-?\s*(?:import|vars\.load|use)\s*:\s*(.+?)\s*$"
 
 
 def yaml_references(files: DataFrame) -> DataFrame:

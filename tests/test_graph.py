@@ -1,9 +1,10 @@
+import json
 import random
 from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from fathomline.functions import extract
+from fathomline.functions import extract, paths
 from fathomline.operators import graph
 from fathomline.session import materialise
 
@@ -140,3 +141,61 @@ def test_other_languages(spark):
     assert ("web/a::method::View.show", "web/b::function::stop") in calls
     assert ("::function::top", "deep::function::dive") in calls
     assert ("a.b::method::A.go", "a.c::method::Util.help") in calls and ("a.b::method::A.go", "a.b::method::A.stop") in calls
+
+
+def test_relations_between_types_and_files(spark):
+    files = [
+        ("src/shape.rs", "pub trait Area {\n    fn area(&self) -> f64;\n}\n\npub struct Square {\n    side: f64,\n}\n\nimpl<T: Copy> Area for Square {\n    fn area(&self) -> f64 {\n        1.0\n    }\n}\n"),
+        ("java/Run.java", "package a.b;\n\npublic interface Run {\n    void go();\n}\n"),
+        ("java/Job.java", "package a.c;\n\nimport a.b.Run;\n\npublic class Job extends Base implements Run, Comparable<Job> {\n    public void go() {\n    }\n}\n"),
+        ("web/a.ts", "export interface View {\n  show(): void;\n}\n\nexport class Page implements View {\n  show() {\n    return 1;\n  }\n}\n"),
+        ("g/a.go", "package g\n\ntype Base struct {\n\tID int\n}\n\ntype Row struct {\n\t*Base\n\tName, Kind string `json:\"n\"`\n\tsub struct {\n\t\tx int\n\t}\n}\n"),
+        ("ops/main.yaml", "# all\n- import: ./sub/../part.yml # one\n- use: '../top.yaml'\nimport: {{ name }}.yaml\nimport: missing.yaml\nvars.load: ../../out.yaml\n"), ("ops/part.yml", "x: 1\n"), ("top.yaml", "y: 1\n"),
+    ]
+    df = spark.createDataFrame(files, "path string, content string")
+    nodes, edges = extract.build_graph(materialise(extract.extract_records(df), "records"), "m")
+    found = {(r.kind, r.src_id.split("::", 1)[1], r.dst_id.split("::", 1)[1]) for r in edges.where("kind in ('implements', 'embeds', 'has_field')").collect()}
+    assert found == {
+        ("implements", "shape::class::Square", "shape::interface::Area"),
+        ("implements", "a.c::class::Job", "a.b::interface::Run"),
+        ("implements", "web/a::class::Page", "web/a::interface::View"),
+        ("embeds", "g::type::Row", "g::type::Base"),
+        ("has_field", "g::type::Base", "g::field::Base.ID"),
+        ("has_field", "g::type::Row", "g::field::Row.Name"),
+        ("has_field", "g::type::Row", "g::field::Row.Kind"),
+    } | {e for e in found if e[2] == "g::field::Row.sub"}
+    imports = {(r.file_path, r.dst_id.rsplit("::", 1)[1], r.start_line) for r in edges.where("kind = 'imports' and file_path like '%.yaml'").collect()}
+    assert imports == {("ops/main.yaml", "ops/part.yml", 2), ("ops/main.yaml", "top.yaml", 3)}
+    assert {tuple(r) for r in extract.yaml_references(df).collect()} == {("ops/main.yaml", "ops/part.yml", 2), ("ops/main.yaml", "top.yaml", 3)}
+    marks = {r.file_path: json.loads(r.metadata_json) for r in edges.collect()}
+    assert marks["web/a.ts"] == {"provenance": "parser", "language": "ts"}
+    stamped = extract.with_provenance(spark.createDataFrame([("a.py", '{"provenance":"types"}'), ("b", None)], "file_path string, metadata_json string"))
+    assert [json.loads(r.metadata_json) for r in stamped.orderBy("file_path").collect()] == [{"provenance": "types", "language": "py"}, {"provenance": "parser", "language": ""}]
+    assert nodes.where("kind = 'field'").count() >= 3
+
+
+def test_paths_are_cleaned(spark):
+    rows = [("a/./b//c", "a/b/c"), ("a/../b", "b"), ("../a", "../a"), ("a/../../b", "../b"), (".", "."), ("", "."), ("a/..", ".")]
+    df = spark.createDataFrame(rows, "p string, want string")
+    assert df.where(paths.clean(F.col("p")) != F.col("want")).count() == 0
+
+
+def test_pagerank_equals_the_power_method(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    pairs = {(int(a), int(b)) for a, b in rnd.integers(0, 40, (150, 2))} | {(i, 0) for i in range(1, 30)}
+    nodes = spark.createDataFrame([(str(i),) for i in range(60)], "id string")
+    flow = spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "src_id string, dst_id string")
+    for iterations, together in ((20, 5), (7, 3), (1, 5)):
+        x = np.full(60, 1 / 60)
+        out = np.bincount([a for a, _ in pairs], minlength=60)
+        for _ in range(iterations):
+            y = np.full(60, (0.15 + 0.85 * x[out == 0].sum()) / 60)
+            for a, b in pairs:
+                y[b] += 0.85 * x[a] / out[a]
+            x = y
+        got = {int(r.id): r.pagerank for r in graph.pagerank(nodes, flow, iterations, together=together).collect()}
+        assert max(abs(got[i] - x[i]) for i in range(60)) < 1e-12
+    chain = spark.createDataFrame([("0", "1"), ("1", "2")], "src_id string, dst_id string")  # nothing moves after two steps
+    assert abs(sum(r.pagerank for r in graph.pagerank(nodes.limit(5), chain).collect()) - 1) < 1e-9
