@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 LIMIT = 4096  # UTF-8 bytes
 OVERLAP = 10  # lines
 _BLOCK = 8  # lines on each side of a boundary
+_BATCH_CHARS = 4_000_000  # characters after which pieces are handed on
 _FILL = 0.5  # a piece is at least this full where a boundary allows it
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _DECLARATION = re.compile(r"^(?:export\s+|pub\s+|public\s+|private\s+|static\s+|async\s+|default\s+)*(?:def|class|func|fn|function|type|interface|struct|impl|enum|trait|const|module|resource|CREATE|create|@\w+|#{1,6}\s|\[)")
@@ -131,33 +132,34 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
     return pieces
 
 
-def split_oversized(df: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+def split_oversized(df: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, stamp: str = "last_seen_at") -> DataFrame:
     """Pieces of the rows whose ``content`` has more than ``limit`` UTF-8 bytes.
 
     Columns ``id, piece_no, start_line, end_line, shared_lines, content``.  Lines count from the row's ``start_line``, or
-    from 1 where that is null or not positive.  Null ids and contents give nothing; of rows that repeat an id the largest
-    (content, start_line) is taken, so each id is split once.  Only oversized rows are shuffled and reach Python.
+    from 1 where that is null or not positive.  Null ids and contents give nothing; of rows that repeat an id the newest is
+    taken (by ``stamp``, where there is such a column, then by content and start line), so each id is split once.  Only oversized rows are shuffled and reach Python.
     """
     big = df.where(F.col("id").isNotNull() & (F.octet_length("content") > limit))
-    big = big.groupBy("id").agg(F.max(F.struct("content", "start_line")).alias("r")).select("id", "r.content", "r.start_line")
+    order = [c for c in (stamp, "content", "start_line") if c in df.columns]
+    big = big.groupBy("id").agg(F.max(F.struct(*order)).alias("r")).select("id", "r.content", "r.start_line")
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+    names = ["id", "piece_no", "start_line", "end_line", "shared_lines", "content"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
         for batch in batches:
-            ids, texts, firsts = batch.columns
-            for i, text, first in zip(ids, texts, firsts):
+            for i, text, first in zip(*batch.columns):
                 base = first.as_py() or 0
                 base = base if base > 0 else 1
-                cut = split_text(text.as_py(), limit, overlap)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([i.as_py()] * len(cut), pa.int64()),
-                        pa.array(range(1, len(cut) + 1), pa.int32()),
-                        pa.array([base + c[0] for c in cut], pa.int32()),
-                        pa.array([base + c[1] for c in cut], pa.int32()),
-                        pa.array([c[2] for c in cut], pa.int32()),
-                        pa.array([c[3] for c in cut], pa.string()),
-                    ],
-                    names=["id", "piece_no", "start_line", "end_line", "shared_lines", "content"],
-                )
+                key = i.as_py()
+                for no, (begin, end, shared, content) in enumerate(split_text(text.as_py(), limit, overlap), 1):
+                    rows.append((key, no, base + begin, base + end, shared, content))
+                    held += len(content)
+                if held > _BATCH_CHARS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     return big.mapInArrow(run, SCHEMA)
