@@ -1,6 +1,7 @@
 """A guide to a project in Markdown: packages by weight, their summaries, exported names and entry points.
 
-Every list is cut to a few entries before it reaches the driver, which only puts the text together.
+A guide is one document: its driver holds one line per package and directory and puts the text together.  The lists of
+names are cut to a few entries per package before they reach it.
 """
 
 from __future__ import annotations
@@ -20,20 +21,21 @@ def slug(title: str) -> str:
     return re.sub(r"[^\w\- ]", "", title.lower()).strip().replace(" ", "-")
 
 
-def render(chunks: DataFrame, nodes: DataFrame, most_packages: int = 200) -> str:
-    """The guide; packages of test data are left out, and a summary that looks cut off is marked."""
+def render(chunks: DataFrame, nodes: DataFrame, most_packages: int | None = None) -> str:
+    """The guide of one project with all its packages, or the ``most_packages`` heaviest; packages of test data are left out, and a summary that looks cut off is marked."""
     placed = nodes.where("file_path <> ''").withColumn("dir", paths.dirname(F.col("file_path"))).where(~F.col("dir").rlike(r"(^|/)testdata(/|$)"))
-    weights = placed.groupBy("dir").agg(F.sum("pagerank").alias("weight")).orderBy(F.desc("weight"), "dir").limit(most_packages)
+    weights = placed.groupBy("dir").agg(F.sum("pagerank").alias("weight")).orderBy(F.desc("weight"), "dir")
+    weights = weights.limit(most_packages) if most_packages else weights
     top = {r.dir: r.weight for r in weights.collect()}
     families: dict[str, list[str]] = {}
     for d in top:
         families.setdefault(d.split("/", 1)[0], []).append(d)
-    few = lambda rows, order, n: rows.withColumn("_n", F.row_number().over(Window.partitionBy("dir").orderBy(*order))).where(F.col("_n") <= n).join(F.broadcast(weights.select("dir")), "dir", "left_semi")
+    few = lambda rows, order, n: rows.withColumn("_n", F.row_number().over(Window.partitionBy("dir").orderBy(*order))).where(F.col("_n") <= n).join(weights.select("dir"), "dir", "left_semi")
     public = placed.where("kind in ('function', 'method', 'struct', 'interface', 'type', 'class')").where(F.col("name").rlike("^[A-Z]"))
     exported = few(public, [F.col("name"), F.col("id")], EXPORTED).select("dir", "name", "kind").collect()
     central = few(placed.where("kind in ('function', 'method') and in_degree > 0"), [F.desc("pagerank"), F.desc("in_degree"), F.col("name")], CENTRAL).select("dir", "qualified_name", "in_degree").collect()
     newest = rollup.newest_per(chunks.where("kind = 'package_summary'").select("path", "content", "last_seen_at", "id"), ["path"], [F.desc("last_seen_at"), F.col("id")])
-    summaries = {r.path: (r.content, r.cut) for r in newest.join(F.broadcast(weights.select(F.col("dir").alias("path"))), "path", "left_semi").select("path", "content", rollup.looks_truncated(F.col("content")).alias("cut")).collect()}
+    summaries = {r.path: (r.content, r.cut) for r in newest.join(weights.select(F.col("dir").alias("path")), "path", "left_semi").select("path", "content", rollup.looks_truncated(F.col("content")).alias("cut")).collect()}
     lines = ["# Guide", "", "## Contents", ""]
     for family, dirs in families.items():
         lines += ([f"**{family}/**", ""] if len(families) > 1 else []) + [f"- [{d}](#{slug(d)})" for d in dirs] + [""]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,18 +20,45 @@ def newest_per(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
 def package_keys(chunks: DataFrame, version: str = "v1") -> DataFrame:
     """``dir, files, package_sha``: the hash of the sorted file hashes of a directory, tests left out unless all are.
 
-    A file is hashed over its sorted chunk hashes first, so what comes together for a directory is one hash per file.
+    A file is hashed over its sorted chunk hashes first (a file of bounded size has few).  The files of a directory are
+    sorted by the shuffle, which spills, and hashed as a stream: a directory of any size takes the memory of one batch.
     """
     rows = chunks.where("not endswith(kind, '_summary') and content_sha1 is not null and path is not null").select("path", "content_sha1").distinct()
     files = rows.groupBy("path").agg(F.sha1(F.array_join(F.array_sort(F.collect_list("content_sha1")), ":")).alias("file_sha"))
-    marked = files.select("file_sha", paths.dirname(F.col("path")).alias("dir"), paths.is_test(F.col("path")).alias("test"))
-    sums = marked.groupBy("dir").agg(F.collect_list(F.when(~F.col("test"), F.col("file_sha"))).alias("prod"), F.collect_list(F.when(F.col("test"), F.col("file_sha"))).alias("tests"))
-    used = F.array_sort(F.when(F.size("prod") > 0, F.col("prod")).otherwise(F.col("tests")))
-    return sums.select("dir", F.size(used).cast("bigint").alias("files"), F.sha1(F.concat(F.lit(version), F.char(F.lit(0)), F.array_join(used, ":"))).alias("package_sha"))
+    marked = files.select(paths.dirname(F.col("path")).alias("dir"), paths.is_test(F.col("path")).alias("test"), "file_sha")
+    seed = f"{version}\0".encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: list = [None, 0, None, False]  # directory, files, running hash, whether they are tests
+        done: list[tuple] = []
+
+        def close() -> None:
+            if state[0] is not None:
+                done.append((state[0], state[1], state[2].hexdigest()))
+
+        for batch in batches:
+            for name, test, sha in zip(*(c.to_pylist() for c in batch.columns)):
+                if name != state[0]:
+                    close()
+                    state[:] = [name, 0, hashlib.sha1(seed), test]
+                elif test != state[3]:
+                    continue  # tests of a directory that has other files
+                state[2].update((b":" if state[1] else b"") + sha.encode())
+                state[1] += 1
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), (pa.string(), pa.int64(), pa.string()))], names=["dir", "files", "package_sha"])
+                done.clear()
+        close()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), (pa.string(), pa.int64(), pa.string()))], names=["dir", "files", "package_sha"])
+
+    return marked.repartition("dir").sortWithinPartitions("dir", "test", "file_sha").mapInArrow(run, "dir string, files bigint, package_sha string")
 
 
 def joined_summaries(summaries: DataFrame, group: Column, separator: str = "\n\n") -> DataFrame:
-    """``grp, summaries, text``: the summaries of a group joined in order of path and id."""
+    """``grp, summaries, text``: the summaries of a group joined in order of path and id.
+
+    The text of a group is one value, so groups are meant to be parts of a project."""
     rows = summaries.where("content is not null").select(group.alias("grp"), F.struct("path", "id", "content").alias("s"))
     return rows.groupBy("grp").agg(F.count(F.lit(1)).alias("summaries"), F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["content"]), separator).alias("text"))
 

@@ -24,10 +24,13 @@ INTENT_PHRASES = [
     ("editing_context", r"edit|modify|refactor|rename|extend|fix|patch|implement|add"),
 ]
 INTENTS = ("behavior_search", "symbol_lookup", "callers", "callees", "architecture", "package_topology", "editing_context")
+# The forms of identifiers in questions.
 QUALIFIED = r"(?:^|[^A-Za-z0-9_])([A-Z][A-Za-z0-9_]*\.[A-Za-z_][A-Za-z0-9_]*)"
 RECEIVER = r"(\(\*?[A-Z][A-Za-z0-9_]*\)\.[A-Za-z_][A-Za-z0-9_]*)"
 WORD = r"([A-Za-z0-9_]+)"
 PASCAL, CAMEL, SNAKE = r"^[A-Z][A-Za-z0-9_]{2,}$", r"^[a-z][a-z0-9]*[A-Z][A-Za-z0-9_]*$", r"^[a-z][a-z0-9_]*_[a-z0-9_]+$"
+# whole words of one of the three forms, found in one pass
+_SHAPED = r"(?<![A-Za-z0-9_])(" + "|".join(p[1:-1] for p in (PASCAL, CAMEL, SNAKE)) + r")(?![A-Za-z0-9_])"
 SINGLE = r"^[ \t\r\n]*([A-Za-z0-9_]{3,32})[ \t\r\n]*$"
 # Names of files that describe a structure.
 ARCHITECTURE_DOCS = "readme architecture arch modules design agent agents claude contributing overview structure layout".split()
@@ -45,7 +48,7 @@ def identifiers(question: Column) -> Column:
     text = F.coalesce(question, F.lit(""))
     qualified = F.concat(F.regexp_extract_all(text, F.lit(RECEIVER), F.lit(1)), F.regexp_extract_all(F.regexp_replace(text, RECEIVER, " "), F.lit(QUALIFIED), F.lit(1)))
     rest = F.regexp_replace(F.regexp_replace(text, RECEIVER, " "), QUALIFIED, " ")
-    words = F.filter(F.regexp_extract_all(rest, F.lit(WORD), F.lit(1)), lambda w: w.rlike(PASCAL) | w.rlike(CAMEL) | w.rlike(SNAKE))
+    words = F.regexp_extract_all(rest, F.lit(_SHAPED), F.lit(1))
     found = F.array_distinct(F.concat(qualified, words))
     single = F.regexp_extract(text, SINGLE, 1)
     return F.when(F.size(found) > 0, found).when(single != "", F.array(single)).otherwise(F.array().cast("array<string>"))
@@ -72,7 +75,7 @@ def suggested_reads(hits: DataFrame, score: str, most: int = 2, prefer_code: boo
     0.05 and then rank, then score.  Hits without a range of lines cannot be read and are left out.
     """
     rows = hits.where("start_line > 0 and end_line >= start_line")
-    rows = rows.join(F.broadcast(symbol_paths.select("path").distinct().withColumn("_cross", F.lit(1))), "path", "left") if symbol_paths is not None else rows.withColumn("_cross", F.lit(0))
+    rows = rows.join(symbol_paths.select("path").distinct().withColumn("_cross", F.lit(1)), "path", "left") if symbol_paths is not None else rows.withColumn("_cross", F.lit(0))
     rows = rows.join(ranks.select("path", F.col("pagerank").alias("_rank")), "path", "left") if ranks is not None else rows.withColumn("_rank", F.lit(0.0))
     side = F.when(F.lit(prefer_code), (paths.tags(F.col("path")) != 0).cast("int")).otherwise(0)
     order = [F.desc(F.coalesce("_cross", F.lit(0))), side]

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,46 @@ def knn(chunks: DataFrame, query: DataFrame, k: int) -> DataFrame:
     return scored.select("id", cosine(F.col("vec"), F.col("qvec")).alias("score")).where("score is not null").orderBy(F.desc("score"), "id").limit(k)
 
 
+def knn_many(chunks: DataFrame, queries: DataFrame, k: int, block: int = 2048, dimensions: int = 64) -> DataFrame:
+    """``query_id, id, score, place``: the ``k`` chunks nearest to every row of ``queries(query_id, qvec)``, itself left out.
+
+    Exact: blocks of queries meet slices of the rows, each pair of them in one task, which passes on ``k`` rows per query.
+    A row is sent once per block and a query once per slice.  Unusable vectors take no part; repeated ids in either table
+    count once (with the largest vector); ties go to the smaller id; empty tables give no rows.
+    """
+    rows = usable_vectors(chunks, dimensions).where("id is not null").groupBy("id").agg(F.max("vec").alias("vec"))
+    asked = usable_vectors(queries.select(F.col("query_id").alias("id"), F.col("qvec").alias("vec")), dimensions).where("id is not null").groupBy("id").agg(F.max("vec").alias("vec"))
+    rows, asked = materialise(rows, "rows"), materialise(asked, "queries")
+    blocks, slices = max(1, -(-asked.count() // block)), max(1, -(-rows.count() // (16 * block)))
+    spread = lambda d, own, n, other, m: d.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other), "id", "vec")
+    left, right = spread(asked, "b", blocks, "s", slices), spread(rows, "s", slices, "b", blocks)
+
+    def best(q: pa.Table, r: pa.Table) -> pa.Table:
+        empty = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        if not q.num_rows or not r.num_rows:
+            return empty
+        r = r.sort_by("id")  # positions are in the order of the ids
+        matrix = lambda t: np.asarray(t["vec"].combine_chunks().flatten(), dtype=np.float64).reshape(-1, dimensions)
+        unit = lambda x: x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+        x, y = unit(matrix(q)), unit(matrix(r))
+        qid, rid = np.asarray(q["id"]), np.asarray(r["id"])
+        out: list[tuple] = []
+        for a in range(0, len(qid), 256):
+            s = np.round(x[a : a + 256] @ y.T, 6)
+            s[qid[a : a + 256, None] == rid[None, :]] = -9
+            take = min(k, s.shape[1])
+            last = -np.partition(-s, take - 1, axis=1)[:, take - 1 : take]
+            above, tied = s > last, s == last
+            above |= tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= take - above.sum(axis=1, keepdims=True))
+            i, j = np.nonzero(above & (s > -9))
+            out.append((qid[a + i], rid[j], s[i, j]))
+        return pa.table({n: np.concatenate([o[c] for o in out]) for c, n in enumerate(("query_id", "id", "score"))})
+
+    found = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInArrow(best, "query_id bigint, id bigint, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("place", F.row_number().over(order).cast("bigint")).where(F.col("place") <= k)
+
+
 def tokenised(chunks: DataFrame) -> DataFrame:
     """``id, path, kind, toks``: the tokens of content, path and kind, which are all searched."""
     return chunks.select("id", "path", "kind", tokens(F.concat_ws("\n", "content", "path", "kind")).alias("toks"))

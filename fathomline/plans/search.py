@@ -63,6 +63,16 @@ def related_chunks(spark, sf):
     return near.crossJoin(F.broadcast(own.select("qid"))).where("id <> qid").select("id", "score").orderBy(F.desc("score"), "id").limit(K)
 
 
+@registry.query(
+    "knn_many",
+    f"with {_VEC}, p as (select a.id as query_id, b.id, round(list_cosine_similarity(a.v, b.v), 6) as score from good a join good b on a.id <> b.id where a.id % 100 = 0) select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as place from p qualify place <= {K}",
+)
+def knn_many(spark, sf):
+    """Every chunk whose id is divisible by 100 as a query against all chunks."""
+    chunks = now(spark, sf, "chunks").select("id", "vec")
+    return search.knn_many(chunks, chunks.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), K)
+
+
 def _bm25(question, mode="auto"):
     return lambda spark, sf: postings.bm25_stored(term_index(spark, sf), parse_query(question, mode), K)
 

@@ -4,6 +4,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from fathomline.functions import chunking, paths, rerank
+from fathomline.functions import text as text_functions
 from fathomline.operators import ingest, rollup, router
 from fathomline.sources import tree
 from fathomline.sources.store import VersionedStore
@@ -226,3 +227,45 @@ def test_secrets_and_nuls_beyond_the_sniff_length(spark):
     assert [tuple(r) for r in whole.collect()] == [(True, True), (False, False), (False, False)]
     sniffed = df.select(paths.looks_secret(F.col("path"), F.col("content"), paths.SECRET_SNIFF), paths.looks_binary(F.col("content"), paths.BINARY_SNIFF))
     assert [tuple(r) for r in sniffed.collect()] == [(False, False)] * 3
+
+
+def test_queue_and_path_mutations(spark):
+    queue = spark.createDataFrame([(1, 5, 0, ""), (2, 5, None, None), (3, 1, 2, "old"), (4, None, 0, "")], "id bigint, queued_at bigint, attempts int, last_error string")
+    assert [r.id for r in ingest.take_jobs(queue.where("queued_at is not null"), 2).collect()] == [3, 1]
+    failed = spark.createDataFrame([(2, "x"), (3, "a"), (3, "b"), (9, "unknown"), (None, "n")], "id bigint, error string")
+    assert {r.id: (r.attempts, r.last_error) for r in ingest.bump_attempts(queue, failed).collect()} == {1: (0, ""), 2: (1, "x"), 3: (3, "b"), 4: (0, "")}
+    assert {r.id for r in ingest.remove_jobs(queue, failed).collect()} == {1, 4}
+    rows = [(1, "a/b", "package_summary", "s1"), (2, "a/b", "package_summary", "s2"), (3, "a/b", "window", "s1"), (4, None, "package_summary", None), (5, "a_b/c", "window", "s3"), (6, "a/b", "package_summary", None)]
+    chunks = spark.createDataFrame(rows, "id bigint, path string, kind string, content_sha1 string")
+    assert {r.id for r in ingest.drop_other_summaries(chunks, "a/b", "package_summary", "s2").collect()} == {2, 3, 4, 5}
+    assert {r.id for r in ingest.drop_paths(chunks, prefix="a_").collect()} == {1, 2, 3, 4, 6}
+    assert {r.id for r in ingest.drop_paths(chunks, ["a/b"]).collect()} == {4, 5} and ingest.drop_paths(chunks).count() == 6
+
+
+def test_what_is_kept_of_a_text(spark):
+    texts = [("a.py", "# c\nx = 1  \n\n  // y\n  # z\nend"), ("b.MD", "# Title\n\n// gone\ntext"), (None, "# c\r\nx\r\n"), ("c.go", None), ("d", "")]
+    got = {r.path: r.t for r in spark.createDataFrame(texts, "path string, content string").select("path", text_functions.without_comments(F.col("path"), F.col("content")).alias("t")).collect()}
+    assert got == {"a.py": "x = 1\nend\n", "b.MD": "# Title\ntext\n", None: "x\n", "c.go": "", "d": ""}
+
+
+def test_source_within_a_budget(spark):
+    items = [(0, 1, 11, "aa\nbb\ncc", False), (2, 1, 12, "x" * 50, False), (1, 1, 13, "whole " * 4, True), (2, 2, 14, None, None), (2, 3, 15, "yy", False)]
+    df = spark.createDataFrame(items, "lane int, place int, id bigint, content string, is_whole boolean")
+    got = [(r.place, r.id, r.content, r.truncated, r.left_over) for r in router.inline_content(df, 40, 2, 20).collect()]
+    # lines and bytes cut the first, the summary stays whole, a line that does not fit is left out
+    assert got == [(1, 11, "aa\nbb", True, 35), (2, 13, "whole " * 4, False, 11), (3, 12, "", True, 11), (4, 14, "", False, 11), (5, 15, "yy", False, 9)]
+    assert [r.id for r in router.inline_content(df, 5, 2, 20).collect()] == [11]
+    assert router.inline_content(df.limit(0), 5, 2, 20).count() == 0
+
+
+def test_events_that_matter(spark):
+    rows = [("a/b.go", "write"), ("a/b.go", "CHMOD"), ("x.bin", "create"), ("x.bin", "remove"), (".git/index", "remove"), ("node_modules/a.js", "write"), ("Makefile", "Create"), (None, "write"), ("a.py", None)]
+    got = {tuple(r) for r in watch.relevant_events(spark.createDataFrame(rows, "path string, event_type string")).collect()}
+    assert got == {("a/b.go", "write"), ("x.bin", "remove"), ("Makefile", "Create")}
+
+
+def test_documents_and_tests_beside_files(spark):
+    files = spark.createDataFrame([(p,) for p in ("a/b/x.go", "a/b/x_test.go", "a/README.md", "a/b/doc.go", "CLAUDE.md", "y.py", "test_y.py", "w/v.tsx", "w/v.spec.tsx", "a/c/d/e/z.rs")], "path string")
+    near = {r.path: r.doc for r in router.nearest_document(files, router.describing_documents(files)).collect()}
+    assert near["a/b/x.go"] == "a/b/doc.go" and near["a/b/doc.go"] == "a/README.md" and near["a/README.md"] == "CLAUDE.md" and near["a/c/d/e/z.rs"] == "a/README.md" and "CLAUDE.md" not in near
+    assert {tuple(r) for r in router.test_pairs(files).collect()} == {("a/b/x.go", "a/b/x_test.go"), ("y.py", "test_y.py"), ("w/v.tsx", "w/v.spec.tsx"), *()} | {tuple(r) for r in router.test_pairs(files).where("path = 'a/b/doc.go'").collect()}

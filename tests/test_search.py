@@ -142,3 +142,20 @@ def test_cosines_of_lexical_hits_and_orders_of_lists(spark):
     ranks = spark.createDataFrame([(1, 0.1, 5), (1, 0.2, 1), (5, 0.1, 9)], "id bigint, pagerank double, in_degree bigint")
     named = chunks.select("id", F.lit("f").alias("name"), "path", F.lit(1).alias("start_line"))
     assert [(r.id, r.pagerank) for r in search.definitions(named, ranks, 3).orderBy(F.desc("pagerank"), "path").collect()] == [(1, 0.2), (5, 0.1), (2, 0.0)]
+
+
+def test_many_queries_equal_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 64)).astype(np.float32)
+    x[50:60] = x[50]  # ties
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist()), (900, None), (901, [0.0] * 64), (902, [1.0]), (None, x[1].tolist())]
+    chunks = spark.createDataFrame(rows, "id bigint, vec array<float>")
+    queries = chunks.where("id % 10 = 0 or id is null").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    s = np.round(unit @ unit.T, 6)
+    want = {(q, int(j), p + 1) for q in range(0, 300, 10) for p, j in enumerate(sorted((j for j in range(300) if j != q), key=lambda j: (-s[q, j], j))[:4])}
+    for block in (2048, 5):
+        assert {(r.query_id, r.id, r.place) for r in search.knn_many(chunks, queries, 4, block=block).collect()} == want
+    assert search.knn_many(chunks.limit(0), queries, 4).count() == 0 and search.knn_many(chunks, queries.limit(0), 4).count() == 0
