@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from fathomline.functions import chunking, enrich, extract, paths
 from fathomline.functions.rerank import CircuitBreaker, RerankCache, Unreachable
@@ -22,6 +23,7 @@ from fathomline.operators import graph, guide, ingest, postings, rollup, router,
 from fathomline.session import materialise, ship_package
 from fathomline.sources import tree
 from fathomline.sources.store import VersionedStore
+from fathomline.streaming import watch as watching
 
 Embed = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 EMBED_BATCH = 32
@@ -293,6 +295,38 @@ class Engine:
                 s |= {"signature": made.text, "doc": made.doc}
         bundle["annotations"] = {p: n for p, n in notes.items() if n}
 
+    def generate(self, prompt: str, chat: Callable[[str, str], str], k: int = 8, system: str = "Answer from the context of this project.") -> str:
+        """What ``chat(system, prompt)`` says with the hits of the prompt as context; ``k`` of 0 sends none."""
+        if not prompt.strip():
+            raise ValueError("the prompt is empty")
+        if k <= 0:
+            return chat(system, prompt)
+        context = search.format_hits(self.search(prompt, k), [F.desc("rrf"), F.col("id")]).first().context
+        return chat(system, f"{context}\n\n{prompt}")
+
+    # watching
+
+    def watch(self, events: DataFrame, tree_root: str, checkpoint: str, gap: str = "500 milliseconds", watermark: str = "10 seconds", initial: bool = True, idle: watching.IdleHook | None = None) -> StreamingQuery:
+        """Refresh the index whenever a stream of changes (path, event_type, ts) falls quiet.
+
+        ``initial`` indexes the tree first.  Each micro-batch of quiet runs is one refresh, after which ``idle`` (a drain of
+        the summary queue, say) becomes due; new events put it off.  The caller polls the hook and stops the query.
+        """
+        if initial:
+            self.index(tree_root)
+
+        def refresh(batch: DataFrame, number: int) -> None:
+            if idle:
+                idle.event()
+            self.index(tree_root)
+
+        runs = watching.debounce(watching.relevant_events(events).withColumn("project", F.lit(tree_root)), "project", gap=gap, watermark=watermark)
+        return watching.on_flush(runs, refresh, checkpoint, idle.flushed if idle else None)
+
+    def drain_all(self, summarise: Callable[[str], str], batch: int = 10, rounds: int | None = None, sleep: Callable[[float], None] = time.sleep) -> int:
+        """Drain the summary queue with pauses that grow while nothing succeeds; gives the number of summaries."""
+        return watching.drain(lambda n: self.drain_summaries(summarise, n), batch, rounds, sleep)
+
     # summaries
 
     def queue(self) -> DataFrame:
@@ -337,7 +371,18 @@ class Engine:
     # upkeep
 
     def guide(self) -> str:
-        return guide.render(self.chunks(), self.nodes())
+        """The guide; what it was made of is remembered for ``guide_is_stale``."""
+        text = guide.render(self.chunks(), self.nodes())
+        self.store.set_properties(guide_seen=str(self._newest_summary()))
+        return text
+
+    def guide_is_stale(self) -> bool:
+        """Whether a summary is newer than those of the last guide, or there was none."""
+        return self._newest_summary() > int(self.store.properties().get("guide_seen", -1))
+
+    def _newest_summary(self) -> int:
+        seen = self.chunks().where(F.col("kind").isin("package_summary", "repo_summary")).agg(F.max("last_seen_at")).first()[0]
+        return seen or 0
 
     def export(self, path: str) -> None:
         tree.export_jsonl(self.nodes(), f"{path}/nodes.jsonl")

@@ -65,3 +65,8 @@ def yes_probability(yes: float | None, no: float | None) -> float:
     if no is None:
         return min(math.exp(yes), 1.0)
     return 1.0 / (1.0 + math.exp(no - yes))
+
+
+def judged_by_chat(ask: Callable[[str, str], tuple[float | None, float | None]]) -> Callable[[str, Sequence[str]], list[float]]:
+    """A reranker from a chat model: ``ask(query, text)`` gives the log probabilities of the answers yes and no."""
+    return lambda query, texts: [yes_probability(*ask(query, text)) for text in texts]

@@ -138,3 +138,51 @@ def test_unchanged_files_are_not_opened_and_rules_of_the_project_hold(spark, tmp
     assert engine.drain_summaries(lambda t: f"{len(t.splitlines())} lines") == 1 and engine.drain_summaries(broken) == -1
     assert [r.content for r in engine.chunks().where("kind = 'chunk_summary'").collect()] == [f"{len(big.splitlines())} lines"]
     assert engine.enqueue_summaries(now=3) == 0
+
+
+def test_command_line_watching_and_generation(spark, tmp_path, capsys):
+    import json
+    import time
+
+    from fathomline import cli
+    from fathomline.functions.rerank import judged_by_chat
+    from fathomline.streaming.watch import IdleHook
+
+    root, store = tmp_path / "proj", str(tmp_path / "store")
+    for name, text in FILES.items():
+        os.makedirs(root / os.path.dirname(name), exist_ok=True)
+        (root / name).write_text(text)
+    assert cli.main(["--store", store, "index", "/"]) == 2 and cli.main(["--store", store, "index", str(root)]) == 2
+    with pytest.raises(cli.RefusedError):
+        cli.check_root(os.path.expanduser("~"))
+    cli.check_root("/", force=True)
+    capsys.readouterr()
+    assert cli.main(["--store", store, "index", str(root), "--allow", str(tmp_path)]) == 0
+    assert json.loads(capsys.readouterr().out)["files"] == 3
+    assert cli.main(["--store", store, "symbol", "total"]) == 0
+    assert json.loads(capsys.readouterr().out)["file_path"] == "shop/price.py"
+    assert cli.main(["--store", store, "bundle", str(root), "--strip"]) == 0
+    assert "===== shop/price.py =====\ndef total(items):" in capsys.readouterr().out
+    engine = Engine(spark, store)
+    assert engine.guide_is_stale() and engine.guide() and not engine.guide_is_stale()
+    assert "total" in engine.generate("total price", lambda system, prompt: prompt) and engine.generate("total", lambda s, p: p, k=0) == "total"
+    with pytest.raises(ValueError):
+        engine.generate(" ", lambda s, p: p)
+    assert judged_by_chat(lambda q, t: (-1.0, -1.0) if t == "a" else (None, None))("q", ["a", "b"]) == [0.5, 0.5]
+    # a quiet run of changes becomes one refresh
+    (root / "shop/new.py").write_text("def fresh():\n    return 3\n")
+    feed = tmp_path / "feed"
+    feed.mkdir()
+    hook = IdleHook(lambda: True, delay=0.0)
+    events = spark.readStream.schema("path string, event_type string, ts timestamp").json(str(feed))
+    query = engine.watch(events, str(root), str(tmp_path / "checkpoint"), watermark="1 second", initial=False, idle=hook)
+    try:
+        for n, second in enumerate(("00", "30", "59")):
+            (feed / f"{n}.json").write_text(json.dumps({"path": "shop/new.py", "event_type": "create", "ts": f"2025-01-01T00:00:{second}Z"}))
+            query.processAllAvailable()
+        until = time.time() + 60
+        while "shop/new.py" not in {r.path for r in engine.chunks().select("path").collect()} and time.time() < until:
+            time.sleep(1)
+    finally:
+        query.stop()
+    assert "shop/new.py" in {r.path for r in engine.chunks().select("path").collect()} and hook.poll()
