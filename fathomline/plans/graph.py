@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import paths
 from fathomline.operators import graph
+from fathomline.plans import stored
 from fathomline.plans.registry import Registry
 from fathomline.plans.views import CHUNKS, EDGES, NODES, now
 
@@ -30,8 +31,8 @@ def _graph(spark, sf):
 
 
 def _ranked(spark, sf):
-    nodes, edges = _graph(spark, sf)
-    return nodes, graph.pagerank(nodes, graph.flow_edges(edges, nodes))
+    """Nodes and their stored ranks."""
+    return now(spark, sf, "graph_nodes"), stored.centrality(spark, sf).select("id", "pagerank")
 
 
 @registry.query("degrees", f"with {_DEGREES} select * from deg")
@@ -54,7 +55,8 @@ def iface_forwarding(spark, sf):
 
 @registry.query("pagerank20", f"with {_FLOW}, {_RANKS} select id, round(pagerank, 9) as pagerank from pr")
 def pagerank20(spark, sf):
-    return _ranked(spark, sf)[1].select("id", F.round("pagerank", 9).alias("pagerank"))
+    nodes, edges = _graph(spark, sf)
+    return graph.pagerank(nodes, graph.flow_edges(edges, nodes)).select("id", F.round("pagerank", 9).alias("pagerank"))
 
 
 @registry.query(
@@ -86,13 +88,13 @@ def _call_sql(near: str, far: str) -> str:
 @registry.query("callers", _call_sql("dst_id", "src_id"))
 def callers(spark, sf):
     nodes, edges = _graph(spark, sf)
-    return graph.call_sites(edges, nodes, graph.degrees(graph.flow_edges(edges, nodes)), True, 12)
+    return graph.call_sites(edges, nodes, stored.centrality(spark, sf), True, 12)
 
 
 @registry.query("callees", _call_sql("src_id", "dst_id"))
 def callees(spark, sf):
     nodes, edges = _graph(spark, sf)
-    return graph.call_sites(edges, nodes, graph.degrees(graph.flow_edges(edges, nodes)), False, 12)
+    return graph.call_sites(edges, nodes, stored.centrality(spark, sf), False, 12)
 
 
 @registry.query("graph_deps", f"with {_BASE} select distinct n.package_path, e.dst_id from ed e join nd n on n.id = e.src_id where e.kind = 'imports' and n.package_path <> '' and e.dst_id is not null")

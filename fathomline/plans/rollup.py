@@ -6,12 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import paths
-from fathomline.operators import graph, rollup, router, search
+from fathomline.operators import rollup, router, search
 from fathomline.plans.graph import _DIR as _FILE_DIR
 from fathomline.plans.graph import _FLOW, _RANKS
 from fathomline.plans.ingest import _ignored_sql
 from fathomline.plans.registry import Registry
 from fathomline.plans.search import _VEC, POOL, _best, _hits, _hybrid_sql, _question
+from fathomline.plans.stored import centrality
 from fathomline.plans.views import CHUNKS, NODES, now
 from fathomline.streaming import watch
 from fathomline.tables import table
@@ -49,9 +50,7 @@ _PACKAGES = f"pk as (select id, {_DIR} as dir from ch where kind = 'package_summ
 
 def _packages(spark, sf):
     """Package summaries with the summed rank of the directory that they lie in."""
-    nodes, edges = now(spark, sf, "graph_nodes"), now(spark, sf, "graph_edges")
-    ranks = graph.pagerank(nodes, graph.flow_edges(edges, nodes))
-    weights = nodes.where("file_path <> ''").join(ranks, "id").groupBy(paths.dirname(F.col("file_path")).alias("dir")).agg(F.round(F.sum("pagerank"), 8).alias("weight"))
+    weights = now(spark, sf, "graph_nodes").where("file_path <> ''").join(centrality(spark, sf), "id").groupBy(paths.dirname(F.col("file_path")).alias("dir")).agg(F.round(F.sum("pagerank"), 8).alias("weight"))
     return rollup.summarised_packages(now(spark, sf, "chunks").where("kind = 'package_summary'").select("id", paths.dirname(F.col("path")).alias("path")), weights)
 
 

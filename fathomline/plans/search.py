@@ -9,9 +9,8 @@ from fathomline.functions.text import parse_query
 from fathomline.operators import graph, postings, search
 from fathomline.plans.graph import _DEGREES, _RANKS
 from fathomline.plans.registry import Registry
-from fathomline.plans.stored import term_index
+from fathomline.plans.stored import centrality, term_index
 from fathomline.plans.views import CHUNKS, now
-from fathomline.session import materialise
 from fathomline.tables import table
 
 registry = Registry()
@@ -136,9 +135,8 @@ def hit_packages(spark, sf):
 )
 def chunk_rank(spark, sf):
     """The rank of the symbol that covers a chunk, else of the best one in its file."""
-    nodes, edges = now(spark, sf, "graph_nodes"), now(spark, sf, "graph_edges")
-    ranks = graph.pagerank(nodes, graph.flow_edges(edges, nodes)).withColumn("pagerank", F.round("pagerank", 9))
-    return graph.chunk_ranks(now(spark, sf, "chunks").select("id", "path", "start_line"), nodes.select("id", "file_path", "start_line", "end_line").join(ranks, "id"))
+    ranks = centrality(spark, sf).select("id", F.round("pagerank", 9).alias("pagerank"))
+    return graph.chunk_ranks(now(spark, sf, "chunks").select("id", "path", "start_line"), now(spark, sf, "graph_nodes").select("id", "file_path", "start_line", "end_line").join(ranks, "id"))
 
 
 @registry.query("symbol_paths", f"with {CHUNKS} select name, count(distinct path) as paths from ch where name <> '' group by name having count(distinct path) > 1")
@@ -203,10 +201,8 @@ def format_hits(spark, sf):
 )
 def symbol_lookup(spark, sf):
     """For every symbol name its ten best definitions: rank in the graph, callers, then path and line."""
-    nodes, edges = now(spark, sf, "graph_nodes"), now(spark, sf, "graph_edges")
-    flow = materialise(graph.flow_edges(edges, nodes), "flow")
-    measured = nodes.select("id", "chunk_id").join(graph.pagerank(nodes, flow), "id", "left").join(graph.degrees(flow), "id", "left")
-    measured = measured.select(F.col("chunk_id").alias("id"), F.round(F.coalesce("pagerank", F.lit(0.0)), 9).alias("pagerank"), F.coalesce("in_degree", F.lit(0)).alias("in_degree"))
+    measured = now(spark, sf, "graph_nodes").select("id", "chunk_id").where("chunk_id is not null").join(centrality(spark, sf), "id")
+    measured = measured.select(F.col("chunk_id").alias("id"), F.round("pagerank", 9).alias("pagerank"), "in_degree")
     return search.definitions(now(spark, sf, "chunks").select("id", "name", "path", "start_line"), measured, 10)
 
 
