@@ -168,7 +168,8 @@ def resolve_targets(nodes: DataFrame, name: str, package: str = "") -> DataFrame
 def call_sites(edges: DataFrame, nodes: DataFrame, rank: DataFrame, callers: bool, k: int, targets: DataFrame | None = None) -> DataFrame:
     """Up to ``k`` callers (or callees) of every target: ``target, peer, file_path, start_line, place``.
 
-    Distinct by peer and call site, ordered by the peer's ``in_degree`` in ``rank(id, in_degree)``, then place.  The cut
+    Distinct by peer and call site, ordered by the peer's rank and callers in ``rank(id, in_degree)``, which may have a
+    ``pagerank`` (compared to 9 decimals), then by place.  The cut
     is made per task before the shuffle as well as after it, so a target that most edges point to sends few rows.
     """
     near, far = ("dst_id", "src_id") if callers else ("src_id", "dst_id")
@@ -177,8 +178,10 @@ def call_sites(edges: DataFrame, nodes: DataFrame, rank: DataFrame, callers: boo
         calls = calls.join(targets.select(F.col("id").alias("target")), "target", "left_semi")
     else:
         calls = calls.join(nodes.where(F.col("kind").isin(*CALLABLE)).select(F.col("id").alias("target")), "target", "left_semi")
-    peers = nodes.select("id").join(rank.select("id", "in_degree"), "id", "left").select(F.col("id").alias("peer"), F.coalesce("in_degree", F.lit(0)).alias("_d"))
-    order = Window.partitionBy("target").orderBy(F.desc("_d"), "file_path", "start_line", "peer")
+    score = F.round("pagerank", 9) if "pagerank" in rank.columns else F.lit(0.0)
+    measured = rank.select("id", "in_degree", score.alias("_score"))
+    peers = nodes.select("id").join(measured, "id", "left").select(F.col("id").alias("peer"), F.coalesce("_score", F.lit(0.0)).alias("_p"), F.coalesce("in_degree", F.lit(0)).alias("_d"))
+    order = Window.partitionBy("target").orderBy(F.desc("_p"), F.desc("_d"), "file_path", "start_line", "peer")
     return calls.join(peers, "peer").withColumn("place", F.row_number().over(order).cast("bigint")).where(F.col("place") <= k).select("target", "peer", "file_path", "start_line", "place")
 
 

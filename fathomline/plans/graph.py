@@ -81,8 +81,8 @@ def role_tag(spark, sf):
 
 
 def _call_sql(near: str, far: str) -> str:
-    return f"""with {_DEGREES}, s as (select distinct e.{near} as target, e.{far} as peer, e.file_path, e.start_line from ed e where e.kind = 'calls' and e.{near} in (select id from nd where kind in ('function', 'method')) and e.{far} in (select id from nd))
-    select target, peer, file_path, start_line, row_number() over (partition by target order by coalesce(d.in_degree, 0) desc, file_path nulls first, start_line nulls first, peer) as place from s left join deg d on d.id = s.peer qualify place <= 12"""
+    return f"""with {_DEGREES}, {_RANKS}, s as (select distinct e.{near} as target, e.{far} as peer, e.file_path, e.start_line from ed e where e.kind = 'calls' and e.{near} in (select id from nd where kind in ('function', 'method')) and e.{far} in (select id from nd))
+    select target, peer, file_path, start_line, row_number() over (partition by target order by coalesce(round(pr.pagerank, 9), 0) desc, coalesce(d.in_degree, 0) desc, file_path nulls first, start_line nulls first, peer) as place from s left join deg d on d.id = s.peer left join pr on pr.id = s.peer qualify place <= 12"""
 
 
 @registry.query("callers", _call_sql("dst_id", "src_id"))
