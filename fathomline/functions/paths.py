@@ -88,6 +88,11 @@ def looks_binary(content: Column, sniff: int | None = None) -> Column:
     return F.instr(_sniffed(content, sniff), "\x00") > 0
 
 
+def is_small(content: Column) -> Column:
+    """At most the size of a file that is indexed; null content is empty."""
+    return F.octet_length(F.coalesce(content, F.lit(""))) <= LARGEST_FILE
+
+
 def tags(path: Column) -> Column:
     """Bits: 1 documentation, 2 build, 4 test, 8 fixture; fixtures are tests as well."""
     bit = lambda pattern, value: F.when(path.rlike(pattern), value).otherwise(0)

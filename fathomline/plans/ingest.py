@@ -42,19 +42,14 @@ def path_class(spark, sf):
     return files.select("path", paths.is_test(F.col("path")).alias("test"), paths.tags(F.col("path")).alias("tags"))
 
 
-@registry.query("secret_scan", f"with {CHUNKS} select id, (not regexp_matches(path, '{paths.TEST_PATTERN}') and regexp_matches(substring(coalesce(content, ''), 1, 4096), '{paths.SECRET_PATTERN}')) as secret from ch")
+@registry.query("secret_scan", f"with {CHUNKS} select id, (not regexp_matches(path, '{paths.TEST_PATTERN}') and regexp_matches(coalesce(content, ''), '{paths.SECRET_PATTERN}')) as secret from ch")
 def secret_scan(spark, sf):
-    return now(spark, sf, "chunks").select("id", paths.looks_secret(F.col("path"), F.col("content"), paths.SECRET_SNIFF).alias("secret"))
-
-
-@registry.query("secret_scan_whole", f"with {CHUNKS} select id, (not regexp_matches(path, '{paths.TEST_PATTERN}') and regexp_matches(coalesce(content, ''), '{paths.SECRET_PATTERN}')) as secret from ch")
-def secret_scan_whole(spark, sf):
     return now(spark, sf, "chunks").select("id", paths.looks_secret(F.col("path"), F.col("content")).alias("secret"))
 
 
-@registry.query("size_gate", f"select doc_id, octet_length(encode(coalesce(text, ''))) <= {paths.LARGEST_FILE} as small_enough, contains(substring(coalesce(text, ''), 1, 8192), chr(0)) as binary_like from documents")
+@registry.query("size_gate", f"select doc_id, octet_length(encode(coalesce(text, ''))) <= {paths.LARGEST_FILE} as small_enough, contains(coalesce(text, ''), chr(0)) as binary_like from documents")
 def size_gate(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) <= paths.LARGEST_FILE).alias("small_enough"), paths.looks_binary(F.col("text"), paths.BINARY_SNIFF).alias("binary_like"))
+    return table(spark, sf, "documents").select("doc_id", paths.is_small(F.col("text")).alias("small_enough"), paths.looks_binary(F.col("text")).alias("binary_like"))
 
 
 _LINES = "l as (select doc_id, string_split(text, chr(10)) as ls, len(string_split(text, chr(10))) - (case when ends_with(text, chr(10)) then 1 else 0 end) as n from documents where text is not null)"
