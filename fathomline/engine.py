@@ -370,9 +370,11 @@ class Engine:
 
     # upkeep
 
-    def guide(self) -> str:
-        """The guide; what it was made of is remembered for ``guide_is_stale``."""
-        text = guide.render(self.chunks(), self.nodes())
+    def guide(self, module: str = "") -> str:
+        """The guide, or the part of one directory; what it was made of is remembered for ``guide_is_stale``."""
+        text = guide.render(self.chunks(), self.nodes(), self.edges(), only=module)
+        if module:
+            return text
         self.store.set_properties(guide_seen=str(self._newest_summary()))
         return text
 

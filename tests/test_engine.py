@@ -34,7 +34,9 @@ def test_index_search_ask_and_reindex(spark, tmp_path):
     looked = engine.ask("Cart")
     assert looked["intent"] == "symbol_lookup" and looked["symbols"][0]["name"] == "Cart" and "shop/cart.py" in looked["next_action"]
     assert engine.did_you_mean("otal") == ["total"]
-    assert "## shop" in engine.guide()
+    guide = engine.guide()
+    assert "## shop" in guide and "### Key internal hot spots\n\n- `total`" in guide and "### Depends on\n\n- shop.price" in guide
+    assert "## shop" in engine.guide("shop") and "## ." not in engine.guide("shop")
     engine.index(str(root), now=200)
     assert {r.id for r in engine.chunks().collect()} == first and {r.last_seen_at for r in engine.chunks().collect()} == {200}
     (root / "shop/price.py").unlink()
