@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fathomline.functions import extract, paths, text
+from fathomline.functions import chunking, extract, paths, text
 from fathomline.operators import incremental, ingest
 from fathomline.plans.registry import Registry
 from fathomline.plans.views import CHUNKS, now
+from fathomline.session import materialise
 from fathomline.tables import table
 
 registry = Registry()
@@ -62,6 +63,22 @@ def line_windows(spark, sf):
     return made.select("doc_id", "w.start_line", "w.end_line", F.sha1("w.content").alias("content_sha1"))
 
 
+@registry.query("structural_chunks")
+def structural_chunks(spark, sf):
+    """Declarations, nested methods, windows and orphans of every chunk, each read as a file of its own."""
+    files = now(spark, sf, "chunks").where("content is not null and not endswith(kind, '_summary')").select("path", "content")
+    return chunking.chunk_files(files).select("path", "kind", "name", "parent", "start_line", "end_line", F.sha1("content").alias("content_sha1"))
+
+
+@registry.query("extracted_edges")
+def extracted_edges(spark, sf):
+    """The graph that the extractors make of the chunks, each read as a file of its own: edges by kind and language."""
+    chunks = now(spark, sf, "chunks").where("content is not null and not endswith(kind, '_summary') and path is not null")
+    files = chunks.select(F.concat(F.col("id").cast("string"), F.lit("/"), "path").alias("path"), "content")
+    _, edges = extract.build_graph(materialise(extract.extract_records(files), "records"), "index")
+    return edges.groupBy("kind", F.get_json_object("metadata_json", "$.language").alias("language")).agg(F.count(F.lit(1)).alias("edges"))
+
+
 @registry.query(
     "line_range",
     """with l as (select id, unnest(list_slice(string_split(content, chr(10)), 2, 8)) as line, generate_subscripts(list_slice(string_split(content, chr(10)), 2, 8), 1) as n, len(list_slice(string_split(content, chr(10)), 2, 8)) as wanted from (select * from chunks where id is not null and content is not null qualify row_number() over (partition by id order by last_seen_at desc) = 1)),

@@ -29,10 +29,15 @@ def _state(spark: SparkSession, path: str) -> str:
     return hashlib.sha1("\n".join(sorted(seen)).encode()).hexdigest()
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def _built(spark: SparkSession, label: str, tables: list[str], build: Callable[[str], None]) -> str:
     """Where something made of tables lies; it is made where the session has none of their present state."""
     key = (spark.sparkContext.applicationId, "-".join([label, *[_state(spark, t) for t in tables]]))
-    if key not in _BUILT:
+    if key not in _BUILT or not _exists(spark, _BUILT[key]):
         path = f"{scratch_root(spark)}/fathomline/{key[0]}-{hashlib.sha1(key[1].encode()).hexdigest()}"
         build(path)
         atexit.register(discard, spark, path)
