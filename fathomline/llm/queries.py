@@ -67,9 +67,9 @@ def _counted(spark, sf, *columns):
 
 @registry.query("p9_found")
 def p9_found(spark, sf):
-    """The sources whose dual has no solution, by its gradient where every document is used as often as allowed."""
+    """The sources whose targets the balancing cannot meet: Newton steps on their dual end without a solution."""
     histogram = materialise(mixing.token_histogram(_counted(spark, sf)), "histogram")
-    plan = mixing.bounds(histogram, table(spark, sf, "mix_targets"))
+    plan = mixing.balance(histogram, table(spark, sf, "mix_targets"))
     return spark.createDataFrame([(r["source"],) for r in plan if r["falls_short"]], "source string")
 
 

@@ -172,6 +172,59 @@ def test_bounds_agree_with_the_definition(spark):
     assert found == {s.lower() for s, w, c in targets if c * own.get(s.lower(), 0) < w * sum(own.values())}
 
 
+def test_p9_found_comes_from_the_balancing(spark, tmp_path, monkeypatch):
+    from fathomline.llm.queries import registry
+
+    docs = [(1, "a" + " a" * 9, " Equal"), (2, "a" + " a" * 9, "short"), (3, "a" + " a" * 29, "open"), (4, "a" + " a" * 13, "OPEN "), (5, None, "open")]
+    targets = [("equal", 20 / 64, 2), ("short", 21 / 64, 2), ("absent", 1 / 64, 9), ("open", 22 / 64, 3)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(targets, TARGET).write.parquet(f"{tmp_path}/mix_targets.parquet")
+    steps, gradient, bounds = [], mixing._gradient, mixing.bounds
+
+    def watched(histogram, plan):
+        found = gradient(histogram, plan)
+        steps.extend((r["source"], found.get(r["source"], (0.0, 0.0))[0]) for r in plan)
+        return found
+
+    monkeypatch.setattr(mixing, "_gradient", watched)
+    # the sums alone decide nothing
+    monkeypatch.setattr(mixing, "bounds", lambda *a: [{**r, "falls_short": None} for r in bounds(*a)])
+    found = registry.queries["p9_found"](spark, str(tmp_path))
+    assert found.columns == ["source"] and sorted(r.source for r in found.collect()) == ["absent", "short"]
+    last = dict(steps)
+    assert last["short"] == 20 and last["equal"] == 20 and last["absent"] == 0 and abs(last["open"] - 22) < 1e-6
+
+
+def test_solutions_that_hang_on_very_short_documents(spark):
+    wanted = [(9_002_000_000, False), (1_000, False), (9_003_000_000, False), (9_003_000_001, True), (1_500_000_000, False)]
+    size, total = {1: 1_000_000, 10_000_000: 300}, 2**34  # a power of two, so that weight times total is exact
+    hist = [(f"s{i}", t, n) for i in range(5) for t, n in size.items()] + [("rest", 1, total - 5 * 3_001_000_000)]
+    targets = [(f"s{i}", t / total, 3) for i, (t, _) in enumerate(wanted)]
+    plan = {r["source"]: r for r in mixing.balance(spark.createDataFrame(hist, "source string, tokens bigint, docs bigint"), spark.createDataFrame(targets, TARGET))}
+    for i, (target, short) in enumerate(wanted):
+        r = plan[f"s{i}"]
+        assert r["target_tokens"] == target and r["falls_short"] == short and r["converged"] and 0 < r["steps"] < 30
+        got = sum(n * t * min(3.0, math.exp(min(700.0, r["tilt"] * t / r["mean"]))) for t, n in size.items())
+        assert abs(got - min(target, 9_003_000_000)) <= 1e-8 * target
+
+
+def test_the_search_agrees_with_the_definition(spark):
+    rng = np.random.default_rng(102)
+    docs = [(i, f"s{rng.integers(12)}", int(t)) for i, t in enumerate(np.exp(rng.normal(3, 2.5, 600)))]
+    own = {f"s{i}": sum(t for _, x, t in docs if x == f"s{i}") for i in range(14)}
+    total = sum(own.values())
+    # around the most that a source can give: a token less, the same, a token more, and far from it
+    most = {s: int(rng.integers(0, 5)) for s in own}
+    targets = [(s, max(0.0, float((most[s] * own[s] + [-1, 0, 1][i % 3]) if i % 2 else most[s] * own[s] * rng.uniform(0, 2)) / total), most[s]) for i, s in enumerate(own)]
+    hist = mixing.token_histogram(spark.createDataFrame(docs, DOC))
+    plan = {r["source"]: r for r in mixing.balance(hist, spark.createDataFrame(targets, TARGET))}
+    assert {s for s, r in plan.items() if r["falls_short"]} == {s for s, w, c in targets if c * own[s] < w * total}
+    assert all(r["converged"] for r in plan.values())
+    for s, r in plan.items():
+        got = sum(min(most[s], math.exp(min(700.0, r["tilt"] * t / r["mean"]))) * t for _, x, t in docs if x == s and t > 0)
+        assert abs(got - min(r["target_tokens"], r["most_tokens"])) <= 1e-6 * max(1.0, r["target_tokens"])
+
+
 def test_empty_mixtures(spark):
     assert _plan(spark, [], []) == {}
     plan = _plan(spark, [(1, None, 0), (2, "a", 0)], [("a", 0.5, 2), (None, 0.5, 1), ("b", None, None)])
