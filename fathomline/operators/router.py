@@ -165,10 +165,13 @@ def nearest_document(files: DataFrame, documents: DataFrame, depth: int = 10) ->
 
     ``documents(path, priority)``.  Each directory keeps its best document before files are joined to it.
     """
-    at = documents.select(paths.dirname(F.col("path")).alias("dir"), F.struct("priority", F.col("path").alias("doc")).alias("d"))
-    two = at.groupBy("dir").agg(F.slice(F.array_sort(F.collect_set("d")), 1, 2).alias("best"))
-    up = files.select("path").distinct().select("path", F.posexplode(F.slice(paths.ancestors(F.col("path")), 1, depth)).alias("far", "dir"))
-    found = up.join(two, "dir").withColumn("doc", F.get(F.filter(F.col("best.doc"), lambda d: d != F.col("path")), F.lit(0))).where("doc is not null")
+    # directories by the text up to their slash: './' is none above 'b.py', whose root is ''
+    at = documents.select(F.regexp_replace("path", r"[^/]*$", "").alias("dir"), F.struct("priority", F.col("path").alias("doc")).alias("d"))
+    two = at.groupBy("dir").agg(F.array_sort(F.collect_set("d")).alias("best")).select("dir", F.get("best.doc", F.lit(0)).alias("_best"), F.get("best.doc", F.lit(1)).alias("_next"))
+    above = files.select("path").distinct().select("path", F.posexplode(F.slice(paths.ancestors(F.col("path")), 1, depth)).alias("far", "dir"))
+    up = above.withColumn("dir", F.when(F.col("far") == F.size(F.split("path", "/")) - 1, "").otherwise(F.concat("dir", F.lit("/"))))
+    # no lambda over both sides of the join: where path is attribute 1 of a session, its null check lands on the side without path
+    found = up.join(two, "dir").withColumn("doc", F.coalesce(*[F.when(F.col(c) != F.col("path"), F.col(c)) for c in ("_best", "_next")])).where("doc is not null")
     return found.groupBy("path").agg(F.min(F.struct("far", "doc")).alias("b")).select("path", "b.doc")
 
 

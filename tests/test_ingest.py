@@ -269,3 +269,31 @@ def test_documents_and_tests_beside_files(spark):
     near = {r.path: r.doc for r in router.nearest_document(files, router.describing_documents(files)).collect()}
     assert near["a/b/x.go"] == "a/b/doc.go" and near["a/b/doc.go"] == "a/README.md" and near["a/README.md"] == "CLAUDE.md" and near["a/c/d/e/z.rs"] == "a/README.md" and "CLAUDE.md" not in near
     assert {tuple(r) for r in router.test_pairs(files).collect()} == {("a/b/x.go", "a/b/x_test.go"), ("y.py", "test_y.py"), ("w/v.tsx", "w/v.spec.tsx"), *()} | {tuple(r) for r in router.test_pairs(files).where("path = 'a/b/doc.go'").collect()}
+
+
+def test_nearest_documents_as_the_first_query_of_a_session(tmp_path):
+    import subprocess
+    import sys
+
+    # column numbers count up over a session, and the failing plan needed path as number 1
+    code = """
+import sys
+from fathomline.session import build_session
+spark = build_session("first", "local[2]", 2, **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
+import pyarrow as pa
+import pyarrow.parquet as pq
+names = ["ab/x.go", "ab/c/yy.go", "z.py", None]
+pq.write_table(pa.table({"id": list(range(4)), "path": names}), f"{sys.argv[1]}/chunks.parquet")
+import __spark_entry__
+print("GOT", sorted(map(tuple, __spark_entry__.queries()["nearest_doc"](spark, sys.argv[1]).collect())))
+"""
+    done = subprocess.run([sys.executable, "-B", "-c", code, str(tmp_path)], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, text=True)
+    got = [line for line in done.stdout.splitlines() if line.startswith("GOT")]
+    # ab/c and the root have paths of even length and so a document; ab has none
+    assert got == ["GOT [('ab/c/README.md', 'README.md'), ('ab/c/yy.go', 'ab/c/README.md'), ('ab/x.go', 'README.md'), ('z.py', 'README.md')]"], done.stderr[-2000:]
+
+
+def test_a_leading_dot_is_a_directory_of_its_own(spark):
+    files = spark.createDataFrame([(p,) for p in ("./README.md", "README.md", "./a.py", "b.py", "c/d.py", "/README.md", "/e.py")], "path string")
+    near = {r.path: r.doc for r in router.nearest_document(files, router.describing_documents(files)).collect()}
+    assert near == {"./README.md": "README.md", "./a.py": "./README.md", "b.py": "README.md", "c/d.py": "README.md", "/README.md": "README.md", "/e.py": "/README.md"}
